@@ -67,14 +67,19 @@ def lookup(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable over the undirected ``edges`` (u, v).
 
-    Each round merges every node into its smallest neighbour and rewrites the edges;
-    paths shrink at least by half and stars vanish at once. Nodes without edges are absent.
+    Each round merges every node into the neighbour of least priority, if that is less
+    than its own, and rewrites the edges. Priorities are the nodes themselves in the
+    first round, in which a star around its smallest node vanishes, and then hashes that
+    differ from round to round, so that a constant part of any other graph's nodes goes.
+    Nodes without edges are absent.
     """
     edges = durable(edges.select("u", "v").where("u <> v").distinct())
     steps: list[DataFrame] = []
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        best = durable(both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("u"), F.min("v")).alias("to")))
+        order = lambda c, r=len(steps): F.struct((F.xxhash64(c, F.lit(r)) if r else F.lit(0)).alias("_by"), F.col(c).alias("_is"))
+        best = both.groupBy(F.col("u").alias("node")).agg(F.min(order("v")).alias("_best"))
+        best = durable(best.select("node", F.least("_best", order("node"))["_is"].alias("to")))
         steps.append(best)
         moved = edges
         for side in ("u", "v"):
@@ -82,10 +87,13 @@ def components(edges: DataFrame) -> DataFrame:
         edges = durable(moved.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     if not steps:
         return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    known = steps.pop()
+    rounds, known = len(steps), steps.pop()
     while steps:  # from the last round back to the first
-        below = steps.pop()
-        known = durable(lookup(below, known.select(F.col("node").alias("to"), F.col("to").alias("_root")), ["to"], "left").select("node", F.coalesce("_root", "to").alias("to")))
+        further = known.select(F.col("node").alias("to"), F.col("to").alias("_root"))
+        known = durable(lookup(steps.pop(), further, ["to"], "left").select("node", F.coalesce("_root", "to").alias("to")))
+    if rounds > 1:
+        least = durable(known.groupBy("to").agg(F.min("node").alias("component")))
+        known = durable(lookup(known, least, ["to"]).select("node", F.col("component").alias("to")))
     return known.select("node", F.col("to").alias("component"))
 
 
