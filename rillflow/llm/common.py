@@ -26,16 +26,28 @@ SPACE_RUN = "[ \\t-\\r]+"
 HOT_ROWS, HOT_KEYS = 256, 4096
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """``df`` computed once into reliable storage, so that lost executors cost no recomputation.
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet in the folder for checkpoints, and read again.
 
     The folder is the session's ``spark.checkpoint.dir``; only where that is unset
-    (tests, local runs) is one made.
+    (tests, local runs) is one made. It is a folder for temporary data: what is written
+    stays until it is emptied.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rillflow-"))
-    return df.checkpoint(eager=True)
+    path = f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """``df`` computed once into reliable storage, so that lost executors cost no recomputation.
+
+    A written table, not an RDD checkpoint: its plan starts afresh, without the
+    constraints and statistics of all that came before, which fill the driver's memory in loops.
+    """
+    return written(df, "step")
 
 
 def words(text) -> F.Column:
@@ -121,13 +133,3 @@ def each_batch(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.R
                 yield f(batch)
 
     return df.mapInArrow(run, schema)
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet in the folder for checkpoints, and read again."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rillflow-"))
-    path = f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}.parquet"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
