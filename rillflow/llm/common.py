@@ -10,7 +10,7 @@ import functools
 import operator
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +24,8 @@ SPACE_RUN = "[ \\t-\\r]+"
 #: A key of more rows than this is hot, and at most so many hot keys are looked up by broadcast.
 #: Any other key then has at most max(HOT_ROWS, rows / HOT_KEYS) rows.
 HOT_ROWS, HOT_KEYS = 256, 4096
+#: Edges of a graph that one task solves by union-find; larger graphs are contracted first.
+LOCAL_EDGES = 200_000
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -59,21 +61,49 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def lookup(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+def lookup(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", hot: list | None = None) -> DataFrame:
     """``left`` joined with ``right``, whose ``keys`` are unique, however many rows of ``left`` share a key.
 
-    The hottest keys of ``left`` (at most HOT_KEYS) meet their single row by a broadcast
-    of that bounded size; all others meet by a shuffle in which no key is hot any more.
-    ``left`` is read twice: give it checkpointed or cheap. Null keys match nothing.
+    The hottest keys of ``left`` (at most HOT_KEYS; given, or counted here) meet their
+    single row by a broadcast of that bounded size; all others meet by a shuffle in
+    which no key is hot any more. ``left`` is read up to three times: give it written or
+    cheap. Null keys match nothing.
     """
-    hot = left.dropna(subset=keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > HOT_ROWS)
-    hot = durable(hot.orderBy(F.desc("_rows"), *keys).limit(HOT_KEYS).select(*keys))
-    if hot.isEmpty():
+    if hot is None:
+        hot = hot_keys(left.dropna(subset=keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")), keys)
+    if not hot:
         return left.join(right, keys, how)
-    met = durable(right.join(F.broadcast(hot), keys, "left_semi"))
-    if how == "left":
-        met = hot.join(met, keys, "left")
-    return left.join(F.broadcast(met), keys).unionByName(left.join(F.broadcast(hot), keys, "left_anti").join(right, keys, how))
+    known = F.broadcast(left.sparkSession.createDataFrame(hot, left.select(*keys).schema))
+    met = right.join(known, keys, "left_semi")
+    met = F.broadcast(known.join(met, keys, "left") if how == "left" else met)
+    return left.join(met, keys).unionByName(left.join(known, keys, "left_anti").join(right, keys, how))
+
+
+def hot_keys(counted: DataFrame, keys: list[str]) -> list[tuple]:
+    """The keys of most ``rows`` in a table of counts: more than HOT_ROWS each, HOT_KEYS at most."""
+    return [tuple(r) for r in counted.where(F.col("rows") > HOT_ROWS).orderBy(F.desc("rows"), *keys).limit(HOT_KEYS).select(*keys).collect()]
+
+
+def _solve(batches):
+    """Edges (u, v) -> (node, to), to being the smallest node of the component."""
+    parent: dict = {}
+
+    def find(x):
+        while (p := parent.setdefault(x, x)) != x:
+            parent[x] = parent[p]
+            x = p
+        return x
+
+    kind = None
+    for batch in batches:
+        kind = batch.schema.field(0).type
+        for u, v in rows(batch, "u", "v"):
+            a, b = find(u), find(v)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+    if kind is not None:
+        nodes = list(parent)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, kind), pa.array([find(x) for x in nodes], kind)], ["node", "to"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -83,27 +113,28 @@ def components(edges: DataFrame) -> DataFrame:
     than its own, and rewrites the edges. Priorities are the nodes themselves in the
     first round, in which a star around its smallest node vanishes, and then hashes that
     differ from round to round, so that a constant part of any other graph's nodes goes.
-    Nodes without edges are absent.
+    Once at most LOCAL_EDGES edges are left, one task solves them. Nodes without edges
+    are absent.
     """
     edges = durable(edges.select("u", "v").where("u <> v").distinct())
     steps: list[DataFrame] = []
-    while not edges.isEmpty():
+    while edges.limit(LOCAL_EDGES + 1).count() > LOCAL_EDGES:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         order = lambda c, r=len(steps): F.struct((F.xxhash64(c, F.lit(r)) if r else F.lit(0)).alias("_by"), F.col(c).alias("_is"))
-        best = both.groupBy(F.col("u").alias("node")).agg(F.min(order("v")).alias("_best"))
-        best = durable(best.select("node", F.least("_best", order("node"))["_is"].alias("to")))
-        steps.append(best)
-        moved = edges
+        best = both.groupBy(F.col("u").alias("node")).agg(F.min(order("v")).alias("_best"), F.count(F.lit(1)).alias("rows"))
+        best = durable(best.select("node", F.least("_best", order("node"))["_is"].alias("to"), "rows"))
+        hot, moved = hot_keys(best, ["node"]), edges
         for side in ("u", "v"):
-            moved = durable(lookup(moved, best.select(F.col("node").alias(side), "to"), [side]).drop(side).withColumnRenamed("to", side))
+            moved = lookup(moved, best.select(F.col("node").alias(side), "to"), [side], hot=hot).drop(side).withColumnRenamed("to", side)
         edges = durable(moved.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-    if not steps:
-        return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    rounds, known = len(steps), steps.pop()
+        steps.append(best.drop("rows"))
+    kind = edges.schema["u"].dataType.simpleString()
+    known = durable(edges.repartition(1).mapInArrow(_solve, f"node {kind}, to {kind}"))
+    rounds = len(steps)
     while steps:  # from the last round back to the first
         further = known.select(F.col("node").alias("to"), F.col("to").alias("_root"))
         known = durable(lookup(steps.pop(), further, ["to"], "left").select("node", F.coalesce("_root", "to").alias("to")))
-    if rounds > 1:
+    if rounds:
         least = durable(known.groupBy("to").agg(F.min("node").alias("component")))
         known = durable(lookup(known, least, ["to"]).select("node", F.col("component").alias("to")))
     return known.select("node", F.col("to").alias("component"))
@@ -121,15 +152,3 @@ def rows(batch: pa.RecordBatch, *names: str, step: int = 256) -> Iterator[tuple]
     columns = [batch.column(batch.schema.get_field_index(n)) for n in names]
     for at in range(0, batch.num_rows, step):
         yield from zip(*(c.slice(at, step).to_pylist() for c in columns), strict=True)
-
-
-def each_batch(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
-    """``df`` through a function of Arrow batches; ``make`` runs once a task and returns the function."""
-
-    def run(batches):
-        f = make()
-        for batch in batches:
-            if batch.num_rows:
-                yield f(batch)
-
-    return df.mapInArrow(run, schema)

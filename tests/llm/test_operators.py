@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from rillflow.llm import bpe, embedding_dedup, html_extract, langid, line_dedup, mixing, ngram_join, passages, quality, sharding
+from rillflow.llm import bpe, common, embedding_dedup, html_extract, langid, line_dedup, mixing, ngram_join, passages, quality, sharding
 from rillflow.llm.common import components, lookup
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -73,13 +73,16 @@ def smallest(n, pairs):
     return [find(i) for i in range(n)]
 
 
-def test_components_and_lookup(spark):
+def test_components_and_lookup(spark, monkeypatch):
     r = random.Random(1)
     pairs = [(r.randrange(400), r.randrange(400)) for _ in range(220)] + [(500 + i, 501 + i) for i in range(60)] + [(600, 601 + i) for i in range(900)]
     want = smallest(1600, pairs)
     nodes = {x for a, b in pairs if a != b for x in (a, b)}
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(pairs, "u long, v long")).collect()}
     assert got == {n: want[n] for n in nodes}
+    monkeypatch.setattr(common, "LOCAL_EDGES", 10)
+    again = {r["node"]: r["component"] for r in components(spark.createDataFrame(pairs, "u long, v long")).collect()}
+    assert again == got
     left = spark.createDataFrame([(1, i) for i in range(700)] + [(2, 1), (3, 1), (None, 4)], "k long, i long")
     right = spark.createDataFrame([(1, "a"), (2, "b")], "k long, x string")
     assert lookup(left, right, ["k"]).count() == 701
