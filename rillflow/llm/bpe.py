@@ -27,8 +27,8 @@ from rillflow.llm.common import rows
 
 #: Stands for the end-of-word suffix; no byte-level character is a newline.
 END = "\n"
-#: Encoded chunks that a worker remembers before it starts afresh.
-REMEMBERED = 300_000
+#: Encoded chunks, and pieces of them, that a worker remembers before it starts afresh.
+REMEMBERED = 400_000
 #: The pre-tokenizer's pattern, and the same for ASCII text in lower case.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
 ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t-\ra-z0-9]+")
@@ -80,6 +80,7 @@ class Encoder(dict):
             self.automaton.add_word(inner(t), i)
         self.automaton.make_automaton()
         self.fitting: dict[tuple[int, int], bool] = {}
+        self.pieces: dict[str, bytes] = {}
         self.characters = byte_characters()
         self.special = vocabulary["special"]
         self.special_pattern = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
@@ -138,7 +139,13 @@ class Encoder(dict):
     def __missing__(self, chunk: str) -> bytes:
         text = lower(unicodedata.normalize("NFC", chunk))
         pieces = (ASCII_PIECES if text.isascii() else PIECES).findall(text)
-        out = np.array([i for p in pieces for i in self.piece(p)], np.int32).tobytes()
+        known = self.pieces
+        if len(known) >= REMEMBERED:
+            known.clear()
+        for p in pieces:
+            if p not in known:
+                known[p] = np.array(self.piece(p), np.int32).tobytes()
+        out = b"".join([known[p] for p in pieces])
         if len(self) >= REMEMBERED:
             self.clear()
         if len(chunk) <= 64:
