@@ -63,37 +63,56 @@ def least_overlap(size: int, percent: int) -> int:
     return -(-percent * size // 100)
 
 
-def sketch(docs: DataFrame, n: int) -> bytes:
-    """For each cell 0, 1 or, from 2 on, a number that grows with the logarithm of its count."""
+def cell_counts(held: list[np.ndarray]) -> list[tuple]:
+    """(segment, cells, which of them occur more than once, how often) of the sampled cells of some documents."""
+    cells, times = np.unique(np.concatenate(held), return_counts=True)
+    segments, out = cells // SEGMENT, []
+    for s in np.unique(segments):
+        a, b = np.searchsorted(segments, s), np.searchsorted(segments, s, "right")
+        more = np.flatnonzero(times[a:b] > 1).astype(np.uint32)
+        out.append((int(s), (cells[a:b] - s * SEGMENT).astype(np.uint32).tobytes(), more.tobytes(), times[a:b][more].astype(np.uint32).tobytes()))
+    return out
 
-    def counted(hashes: np.ndarray):
-        cells, times = np.unique(hashes, return_counts=True)
-        segments = cells // SEGMENT
-        for s in np.unique(segments):
-            a, b = np.searchsorted(segments, s), np.searchsorted(segments, s, "right")
-            more = np.flatnonzero(times[a:b] > 1).astype(np.uint32)
-            yield int(s), (cells[a:b] - s * SEGMENT).astype(np.uint32).tobytes(), more.tobytes(), times[a:b][more].astype(np.uint32).tobytes()
 
-    shape = "segment int, cells binary, more binary, times binary"
+def read_once(docs: DataFrame, n: int) -> DataFrame:
+    """A row (doc_id, n_shingles, class) per document, and rows (segment, cells, more, times) for the sketch, in one reading."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    counts = {"segment": pa.int32(), "cells": pa.binary(), "more": pa.binary(), "times": pa.binary()}
 
-    def emit(batches):
-        def out(held):
-            found = list(counted(np.concatenate(held)))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["segment", "cells", "more", "times"])
+    def described(ids: pa.Array, sizes: list, digests: list) -> pa.RecordBatch:
+        columns = [ids, pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), *(pa.nulls(len(sizes), t) for t in counts.values())]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "class", *counts])
 
-        held, size = [], 0
+    def counted(held: list[np.ndarray], id_type: pa.DataType) -> pa.RecordBatch:
+        found = cell_counts(held)
+        empty = [pa.nulls(len(found), t) for t in (id_type, pa.int64(), pa.binary())]
+        columns = [pa.array(c, t) for c, t in zip(zip(*found, strict=True), counts.values(), strict=True)]
+        return pa.RecordBatch.from_arrays([*empty, *columns], ["doc_id", "n_shingles", "class", *counts])
+
+    def run(batches):
+        held, size, id_type = [], 0, None
         for batch in batches:
+            sizes, digests, id_type = [], [], batch.schema.field(0).type
             for (text,) in rows(batch, "text"):
                 found = shingles(text, n)
-                found = (found[found % np.uint64(SAMPLED) == 0] // np.uint64(SAMPLED) % np.uint64(CELLS)).astype(np.int64)
-                if len(found):
-                    held.append(found)
-                    size += len(found)
+                sizes.append(len(found))
+                digests.append(digest(found) if len(found) else None)
+                sampled = found[found % np.uint64(SAMPLED) == 0] // np.uint64(SAMPLED) % np.uint64(CELLS)
+                if len(sampled):
+                    held.append(sampled.astype(np.int64))
+                    size += len(sampled)
                 if size > 1 << 21:
-                    yield out(held)
+                    yield counted(held, id_type)
                     held, size = [], 0
+            yield described(batch.column(0), sizes, digests)
         if size:
-            yield out(held)
+            yield counted(held, id_type)
+
+    return docs.mapInArrow(run, f"doc_id {kind}, n_shingles long, class binary, segment int, cells binary, more binary, times binary")
+
+
+def sketch(parts: DataFrame) -> bytes:
+    """For each cell 0, 1 or, from 2 on, a number that grows with the logarithm of its count."""
 
     def merge(batches):
         total: dict[int, np.ndarray] = {}
@@ -107,8 +126,7 @@ def sketch(docs: DataFrame, n: int) -> bytes:
             level = np.where(t < 2, t, np.ceil(8 * np.log2(np.maximum(t, 1))) - 6).clip(0, 254).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([level.tobytes()], pa.binary())], ["segment", "levels"])
 
-    parts = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(emit, shape)
-    merged = parts.repartition(min(CELLS // SEGMENT, shuffle_width(docs.sparkSession)), "segment").mapInArrow(merge, "segment int, levels binary")
+    merged = parts.repartition(min(CELLS // SEGMENT, shuffle_width(parts.sparkSession)), "segment").mapInArrow(merge, "segment int, levels binary")
     out = np.zeros(CELLS, np.uint8)
     for segment, levels in merged.collect():  # CELLS bytes at most
         out[segment * SEGMENT : (segment + 1) * SEGMENT] = np.frombuffer(levels, np.uint8)
@@ -216,18 +234,10 @@ def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
     """
     spark = docs.sparkSession
 
-    def describe(batches):
-        for batch in batches:
-            sizes, digests = [], []
-            for (text,) in rows(batch, "text"):
-                found = shingles(text, n)
-                sizes.append(len(found))
-                digests.append(digest(found) if len(found) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary())], ["doc_id", "n_shingles", "class"])
-
     raw = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    known = durable(raw.mapInArrow(describe, f"doc_id {dict(docs.dtypes)['doc_id']}, n_shingles long, class binary"))
-    shared = spark.sparkContext.broadcast(sketch(docs, n))
+    read = durable(read_once(raw, n))
+    known = read.where("segment is null").select("doc_id", "n_shingles", "class")
+    shared = spark.sparkContext.broadcast(sketch(read.where("segment is not null").select("segment", "cells", "more", "times")))
 
     def candidates(batches):
         """(class, size, prefix shingles, the set) of sets that may have a near copy."""
@@ -246,7 +256,7 @@ def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
                             values.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.list_(pa.int64())), pa.array(out[2], pa.binary())], ["class", "keys", "shingles"])
 
-    found = raw.mapInArrow(candidates, "class binary, keys array<long>, shingles binary")
+    found = durable(raw.mapInArrow(candidates, "class binary, keys array<long>, shingles binary"))
     posted = durable(found.select("class", F.explode("keys").alias("key")).distinct())
     hubs = durable(posted.groupBy("key").agg(F.min("class").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "v"))
     groups = components(lookup(posted.withColumnRenamed("class", "u"), hubs, ["key"]).select("u", "v"))
