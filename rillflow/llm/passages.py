@@ -18,6 +18,7 @@ A contract may ask to remove all copies, so the factors are taken in both direct
 from __future__ import annotations
 
 import functools
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ LENGTH, GRAM = 400, 128
 FILTER_BITS, SEGMENT_BITS = 1 << 26, 1 << 18
 #: Regions of a gram that one suffix array holds, bytes that a task gathers for one array.
 CROWD, GATHERED = 256, 1 << 19
+#: Digests of repeated windows that a broadcast may hold (16 bytes each), and of windows that a task counts at a time.
+KNOWN, COUNTED = 1 << 17, 1 << 16
 #: Low bits that hold a position when the least hash of a window is sought.
 PLACE = np.uint64((1 << 28) - 1)
 
@@ -192,12 +195,55 @@ def _regions_of_small_grams(batches):
         yield solved(held)
 
 
+def _digests(data: bytes) -> list[bytes]:
+    view = memoryview(data)
+    return [xxhash.xxh3_128_digest(view[i : i + LENGTH]) for i in range(len(data) - LENGTH + 1)]
+
+
+def _counted_windows(batches):
+    """Rows (bytes) -> (digest, n) of their windows, counted as far as COUNTED digests go."""
+    held: Counter = Counter()
+    for batch in batches:
+        for (data,) in rows(batch, "bytes"):
+            held.update(_digests(data))
+            if len(held) >= COUNTED:
+                yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["digest", "n"])
+                held = Counter()
+    yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["digest", "n"])
+
+
 def _windows(batches):
     """Rows (gram, region, bytes) -> a row with the digest of each window."""
     for batch in batches:
         for gram, region, data in rows(batch, "gram", "region", "bytes"):
-            n, view = len(data) - LENGTH + 1, memoryview(data)
-            yield pa.RecordBatch.from_arrays([pa.array([gram] * n, pa.int64()), pa.array([region] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array([xxhash.xxh3_128_digest(view[i : i + LENGTH]) for i in range(n)], pa.binary())], ["gram", "region", "i", "digest"])
+            found = _digests(data)
+            yield pa.RecordBatch.from_arrays([pa.array([gram] * len(found), pa.int64()), pa.array([region] * len(found), pa.int64()), pa.array(range(len(found)), pa.int32()), pa.array(found, pa.binary())], ["gram", "region", "i", "digest"])
+
+
+def crowded_spans(large: DataFrame) -> DataFrame:
+    """(gram, region, a, b) of the repeated windows in rows (gram, region, bytes) of crowded grams.
+
+    Windows are counted by digest. At most KNOWN digests that repeat are told to all tasks,
+    which then need no row per window; more are looked up by a shuffle.
+    """
+    counts = large.select("bytes").mapInArrow(_counted_windows, "digest binary, n long")
+    again = durable(counts.groupBy("digest").agg(F.sum("n").alias("n")).where("n > 1").select("digest"))
+    told = again.limit(KNOWN + 1).collect()
+    if len(told) > KNOWN:
+        met = lookup(durable(large.mapInArrow(_windows, "gram long, region long, i int, digest binary")), again, ["digest"])
+        return met.select("gram", "region", F.col("i").alias("a"), F.col("i").alias("b"))
+    shared = large.sparkSession.sparkContext.broadcast(frozenset(bytes(r[0]) for r in told))
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for gram, region, data in rows(batch, "gram", "region", "bytes"):
+                hits = np.fromiter((d in shared.value for d in _digests(data)), bool, len(data) - LENGTH + 1)
+                out += [(gram, region, a, b) for a, b in runs(hits)]
+            columns = zip(*out, strict=True) if out else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["gram", "region", "a", "b"])
+
+    return large.mapInArrow(run, "gram long, region long, a int, b int")
 
 
 def passages(docs: DataFrame, ref: str) -> DataFrame:
@@ -254,9 +300,7 @@ def passages(docs: DataFrame, ref: str) -> DataFrame:
     once = distinct.where("n = 1").select("gram", "region")
     small = distinct.join(crowds, "gram", "left_anti").select("gram", "region", "bytes").repartition(width, "gram").sortWithinPartitions("gram")
     spans = small.mapInArrow(_regions_of_small_grams, "gram long, region long, spans array<struct<a: int, b: int>>").withColumn("span", F.explode("spans")).select("gram", "region", "span.a", "span.b")
-    large = durable(distinct.join(crowds, "gram", "left_semi").select("gram", "region", "bytes").mapInArrow(_windows, "gram long, region long, i int, digest binary"))
-    again = large.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
-    spans = spans.unionByName(lookup(large, durable(again), ["digest"]).select("gram", "region", F.col("i").alias("a"), F.col("i").alias("b")))
+    spans = spans.unionByName(crowded_spans(distinct.join(crowds, "gram", "left_semi").select("gram", "region", "bytes")))
     spans = durable(spans.groupBy("gram", "region").agg(F.collect_list(F.struct("a", "b")).alias("spans")).join(once, ["gram", "region"]))
     whole = distinct.where("n > 1").select("gram", "region", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
     solved = durable(spans.unionByName(whole))

@@ -194,8 +194,9 @@ def test_passages(docs, texts, empty, monkeypatch):
         return bytes(b for b, g in zip(d, gone, strict=True) if not g), int(gone.sum()), len(passages.runs(gone))
 
     want = {i * 3 + 1: expected(d) for i, d in enumerate(raw)}
-    for crowd in (passages.CROWD, 1):
+    for crowd, known in ((passages.CROWD, passages.KNOWN), (1, passages.KNOWN), (1, 3)):
         monkeypatch.setattr(passages, "CROWD", crowd)
+        monkeypatch.setattr(passages, "KNOWN", known)
         got = by_id(passages.remove_passages(docs.select("doc_id", "text")))
         assert {k: (bytes(r["kept"]), r["n_removed"], r["n_spans"]) for k, r in got.items()} == want
         assert all(got[i * 3 + 1]["n_bytes"] == len(d) for i, d in enumerate(raw))
