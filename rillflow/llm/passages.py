@@ -300,7 +300,8 @@ def passages(docs: DataFrame, ref: str) -> DataFrame:
     once = distinct.where("n = 1").select("gram", "region")
     small = distinct.join(crowds, "gram", "left_anti").select("gram", "region", "bytes").repartition(width, "gram").sortWithinPartitions("gram")
     spans = small.mapInArrow(_regions_of_small_grams, "gram long, region long, spans array<struct<a: int, b: int>>").withColumn("span", F.explode("spans")).select("gram", "region", "span.a", "span.b")
-    spans = spans.unionByName(crowded_spans(distinct.join(crowds, "gram", "left_semi").select("gram", "region", "bytes")))
+    large = distinct.join(crowds, "gram", "left_semi").select("gram", "region", "bytes").repartition(width, "gram", "region")  # a crowd is no task's alone
+    spans = spans.unionByName(crowded_spans(large))
     spans = durable(spans.groupBy("gram", "region").agg(F.collect_list(F.struct("a", "b")).alias("spans")).join(once, ["gram", "region"]))
     whole = distinct.where("n > 1").select("gram", "region", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
     solved = durable(spans.unionByName(whole))
