@@ -39,7 +39,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rillflow-"))
     path = f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}.parquet"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

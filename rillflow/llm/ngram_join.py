@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import HOT_KEYS, components, durable, lookup, rows, shuffle_width
+from rillflow.llm.common import HOT_KEYS, components, durable, hot_keys, lookup, rows, shuffle_width
 
 #: Cells of the sketch (a byte each once merged), cells of a segment, and the share of
 #: the hash space that it counts (one in SAMPLED).
@@ -240,7 +240,7 @@ def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
     shared = spark.sparkContext.broadcast(sketch(read.where("segment is not null").select("segment", "cells", "more", "times")))
 
     def candidates(batches):
-        """(class, size, prefix shingles, the set) of sets that may have a near copy."""
+        """(class, prefix shingles, a text of the class) of sets that may have a near copy."""
         levels, seen = np.frombuffer(shared.value, np.uint8), set()
         for batch in batches:
             out = ([], [], [])
@@ -252,22 +252,25 @@ def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
                         if len(seen) >= REMEMBERED:
                             seen.clear()
                         seen.add(name)
-                        for values, value in zip(out, (name, keys.view(np.int64), found.tobytes()), strict=True):
+                        for values, value in zip(out, (name, keys.view(np.int64), text), strict=True):
                             values.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.list_(pa.int64())), pa.array(out[2], pa.binary())], ["class", "keys", "shingles"])
-
-    found = durable(raw.mapInArrow(candidates, "class binary, keys array<long>, shingles binary"))
-    posted = durable(found.select("class", F.explode("keys").alias("key")).distinct())
-    hubs = durable(posted.groupBy("key").agg(F.min("class").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "v"))
-    groups = components(lookup(posted.withColumnRenamed("class", "u"), hubs, ["key"]).select("u", "v"))
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.list_(pa.int64())), pa.array(out[2], pa.binary())], ["class", "keys", "text"])
+
+    # Texts are kept, not sets of hashes: they pack to a fraction of the size. Grouping goes by a
+    # 64-bit hash of the class, as classes that share one would only be compared in vain.
+    found = durable(raw.mapInArrow(candidates, "class binary, keys array<long>, text binary"))
+    posted = found.select(F.xxhash64("class").alias("u"), F.explode("keys").alias("key"))
+    hubs = posted.groupBy("key").agg(F.min("u").alias("v"), F.max("u").alias("_most"), F.count(F.lit(1)).alias("rows"))
+    hubs = durable(hubs.where("v < _most").select("key", "v", "rows"))
+    groups = components(lookup(posted, hubs.select("key", "v"), ["key"], hot=hot_keys(hubs, ["key"])).select("u", "v"))
     sizes = durable(groups.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > BLOCK))
     few = sizes.limit(HOT_KEYS + 1).count() <= HOT_KEYS
-    groups = groups.join(F.broadcast(sizes) if few else sizes, "component", "left").withColumnRenamed("node", "class")
+    groups = groups.join(F.broadcast(sizes) if few else sizes, "component", "left").withColumnRenamed("node", "short")
     groups = durable(groups.withColumn("parts", F.coalesce(F.ceil(F.col("size") / BLOCK), F.lit(1)).cast("int")).drop("size"))
 
-    dealt = found.select("class", "shingles").join(groups, "class").withColumn("own", F.pmod(F.xxhash64("class"), "parts").cast("int"))
+    dealt = found.select("class", F.xxhash64("class").alias("short"), "text").join(groups, "short").withColumn("own", F.pmod(F.xxhash64("class"), "parts").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("component", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "class", "shingles")
+    dealt = dealt.select("component", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "class", "text")
     dealt = dealt.repartition(shuffle_width(spark), "component", "lo", "hi").sortWithinPartitions("component", "lo", "hi", "class")
 
     def join(batches):
@@ -278,14 +281,14 @@ def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
             return pa.RecordBatch.from_arrays([pa.array([names[x[k]] for x in links], pa.binary()) for k in (0, 1)], ["u", "v"])
 
         for batch in batches:
-            for component, lo, hi, name, found in rows(batch, "component", "lo", "hi", "class", "shingles", step=64):
+            for component, lo, hi, name, text in rows(batch, "component", "lo", "hi", "class", "text", step=64):
                 if (component, lo, hi) != key:
                     if len(sets) > 1:
                         yield flush()
                     key, names, sets = (component, lo, hi), [], []
                 if not names or names[-1] != name:  # tasks may have sent a class each
                     names.append(name)
-                    sets.append(np.frombuffer(found, np.uint64))
+                    sets.append(shingles(text, n))
         yield flush()
 
     whole = components(dealt.mapInArrow(join, "u binary, v binary"))
