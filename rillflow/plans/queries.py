@@ -336,7 +336,7 @@ def map_async(spark, sf_dir):
     async def double(x):
         return int(x) * 2
 
-    d = events(spark, sf_dir).filter(lambda r: r.event_id < 1000).df.select("event_id", "user_id")
+    d = events(spark, sf_dir).df.select("event_id", "user_id")
     return aio.map_async(d, "user_id", double, "bigint", concurrency=32).select("event_id", "result.value")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rillflow import Collectors as C
 from rillflow import Dataset, Option, Result, StreamEmptyError, curry, pipe, retry
+from rillflow.plans import queries as plans
 from rillflow.sources import files
 from rillflow.sources.pages import read_paginated
 from rillflow.streaming import aio, streams
@@ -139,6 +140,13 @@ def test_async_stage(spark):
     assert [r["result"]["error"] and r["result"]["error"]["type"] for r in got] == [None, None, "ValueError", "TimeoutError", None]
 
 
+def test_async_query_takes_all_events(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    want = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("event_id", "user_id * 2 AS value")
+    got = plans.QUERIES["map_async"](spark, sf_dir)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() == 10000
+
+
 def test_streaming_equals_batch(spark, tmp_path):
     e = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
     e.repartition(1).sortWithinPartitions("ts").write.parquet(f"{tmp_path}/in")
