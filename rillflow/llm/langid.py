@@ -79,8 +79,10 @@ class Model:
             part = scores[a:b]
             best = int(part.sum(0).argmax()) if b > a else 0
             ahead = np.cumsum(part - part[:, best : best + 1], axis=0)
-            # no stay in another language gains more than one change costs: then none pays, nor does any chain of them
-            if b == a or (ahead - np.minimum(np.minimum.accumulate(np.vstack([np.zeros((1, ahead.shape[1])), ahead[:-1]]), axis=0), 0)).max() <= SWITCH:
+            before = np.vstack([np.zeros((1, ahead.shape[1])), ahead[:-1]])
+            # A stay in another language costs a change, but one at the start and one at the end may share it.
+            # If neither any stay nor such a pair gains as much as one change costs, every path with changes is worse.
+            if b == a or ((ahead - np.minimum.accumulate(before, axis=0)).max() < SWITCH and ahead.max() + (ahead[-1:] - before).max() < SWITCH):
                 out[i] = (np.full(b - a, best), lengths[a:b])
             else:
                 mixed.append(i)

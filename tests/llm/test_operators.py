@@ -235,6 +235,24 @@ def test_viterbi_shortcut_is_exact():
             assert abs(value - best.max()) < 1e-9
 
 
+def test_label_equals_full_viterbi():
+    r = np.random.default_rng(4)
+    model = langid.Model(["a", "b", "c"], np.zeros((langid.BUCKETS, 3)), np.ones((len(langid.SCRIPTS), 3)))
+    vocabulary = {"xa": [0, -10, -4], "yb": [-10, 0, -4]}
+    for k in range(40):
+        vocabulary["".join(chr(97 + x) for x in (k % 20, k // 20, 25))] = r.normal(0, 4, 3) + [0, 0, k % 2 * 6]
+    for word, row in vocabulary.items():
+        at = langid.scan([word])["bucket"]
+        model.logs[at] = 0
+        model.logs[at[0]] = row
+    assert model.label(["xa xa yb yb"])[0][0].tolist() == [0, 0, 1, 1]
+    texts = [" ".join(r.choice(sorted(vocabulary), r.integers(1, 14))) for _ in range(2000)]
+    scores = [np.array([model.logs[langid.scan([w])["bucket"]].sum(0) for w in t.split()], float) for t in texts]
+    want = langid.viterbi(scores)
+    assert [path.tolist() for path, _ in model.label(texts)] == [p.tolist() for p in want]
+    assert 100 < sum(len(set(p.tolist())) > 1 for p in want) < 1900
+
+
 def test_quality(docs, texts, empty):
     got = by_id(quality.verdicts(docs))
     for i, t in enumerate(texts):
