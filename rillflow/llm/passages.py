@@ -1,4 +1,4 @@
-"""Suffix-array dedup: bytes that belong to a passage found anywhere else are removed.
+"""Bytes that belong to a passage found anywhere else are removed: hashes and suffix arrays.
 
 Every window of LENGTH bytes has an anchor, the gram of GRAM bytes in it with the least
 hash, so equal windows have equal anchors at the same place. Anchors own runs of
@@ -6,13 +6,15 @@ windows; their grams divide the search among tasks.
 
 1. Grams that occur once own no repeated window and are dropped.
 2. Where two anchors of a gram own the same bytes (a hash of the whole region), all of
-   their windows repeat. That settles exact copies and the insides of longer passages.
+   their windows repeat. That settles exact copies and the insides of longer passages;
+   no suffix array is needed for it.
 3. What is left are the borders of passages. The distinct regions of a gram meet in one
    task, which builds a suffix array over them; the previous and next smaller positions
-   in suffix order give each window's longest earlier (or later) match. Grams of more
-   than CROWD regions would outgrow a task: their windows are counted by digest instead.
+   in suffix order give each position's longest previous factor and its start. Grams of
+   more than CROWD regions would outgrow a task: their windows are counted by digest
+   instead, and meet no suffix array.
 
-A contract may ask to remove all copies, so the factors are taken in both directions.
+A contract may ask to remove all copies, so the starts of long factors count as well.
 """
 
 from __future__ import annotations
@@ -77,29 +79,68 @@ def region_hashes(data: bytes, first: np.ndarray, last: np.ndarray, length: int
     return np.fromiter((xxhash.xxh3_64_intdigest(view[a : b + length]) for a, b in zip(first.tolist(), last.tolist(), strict=True)), np.uint64, len(first)).view(np.int64)
 
 
-def ranks(codes: np.ndarray, length: int) -> np.ndarray:
-    """For each position the rank of the ``length`` codes from it on, by prefix doubling (the end ranks lowest)."""
-    rank, k = np.unique(codes, return_inverse=True)[1].astype(np.int64) + 1, 1
+def ranks(codes: np.ndarray) -> list[np.ndarray]:
+    """For each power of two the rank at each position of so many codes from it on, by prefix doubling.
 
-    def joined(by: int) -> np.ndarray:
-        after = np.zeros(len(rank), np.int64)
-        after[: len(rank) - by] = rank[by:]
-        return np.unique(rank * (rank.max() + 1) + after, return_inverse=True)[1].astype(np.int64) + 1
+    The last ranks are all different: those of the suffixes. The end ranks lowest.
+    """
+    rank = np.unique(codes, return_inverse=True)[1].astype(np.int32) + 1
+    out = [rank]
+    while len(rank) and (top := int(rank.max())) < len(rank):
+        joined, by = rank.astype(np.int64) * (top + 1), 1 << (len(out) - 1)
+        joined[: len(rank) - by] += rank[by:]
+        rank = np.unique(joined, return_inverse=True)[1].astype(np.int32) + 1
+        out.append(rank)
+    return out
+
+
+def smaller(order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each position the smaller positions nearest before and after it in suffix order, or -1."""
+    before, after, stack = [-1] * len(order), [-1] * len(order), [-1]
+    for i in order.tolist():
+        while stack[-1] > i:
+            after[stack.pop()] = i
+        before[i] = stack[-1]
+        stack.append(i)
+    return np.array(before, np.int64), np.array(after, np.int64)
 
-    while k < length and k < len(rank):
-        step = min(k, length - k)
-        rank = joined(step)
-        k += step
-    return rank
+
+def common(levels: list[np.ndarray], one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """How many codes from the positions ``one`` and ``other`` on are equal (0 where ``other`` is -1).
+
+    The last code must be unique, so that a match ends before it.
+    """
+    out, there = np.zeros(len(one), np.int64), np.flatnonzero(other >= 0)
+    a, b = one[there], other[there]
+    size = np.zeros(len(there), np.int64)
+    for k in range(len(levels) - 2, -1, -1):
+        size += (levels[k][a + size] == levels[k][b + size]).astype(np.int64) << k
+    out[there] = size
+    return out
+
+
+def factors(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each position the length of its longest previous factor, and where that starts (-1: length 0).
+
+    It is the longest match that starts at a smaller position, and may overlap. Of all
+    smaller positions, the nearest before and after in suffix order match longest. The
+    last code must be unique.
+    """
+    levels = ranks(codes)
+    before, after = smaller(np.argsort(levels[-1]))
+    places = np.arange(len(codes))
+    left, right = common(levels, places, before), common(levels, places, after)
+    sizes = np.maximum(left, right)
+    return sizes, np.where(sizes == 0, -1, np.where(left >= right, before, after))
 
 
 def repeated_windows(regions: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
     """For each region whether the window from each position on also starts anywhere else in them.
 
-    Regions are joined with a separator each. In suffix order (windows by rank, equal
-    ones by position) a window has an earlier match of full length if its previous
-    smaller position is in the same run of equal windows, and a later one if the window
-    is itself the previous smaller position of such another.
+    Regions are joined with a separator of its own after each, which no match crosses. A
+    window has an earlier match if its longest previous factor is of full length. The
+    first of equal windows has only later ones: it is marked as the start of the factor
+    of the second, which has no other earlier match of that length.
     """
     sizes = np.array([len(r) + 1 for r in regions])
     ends = np.cumsum(sizes)
@@ -108,34 +149,12 @@ def repeated_windows(regions: list[bytes], length: int = LENGTH) -> list[np.ndar
     body[ends - 1] = False
     codes[body] = np.frombuffer(b"".join(regions), np.uint8)
     codes[~body] = 256 + np.arange(len(regions))
-    rank = ranks(codes, length)
-    room = np.repeat(ends - 1, sizes) - np.arange(ends[-1])
-    windows = np.flatnonzero(room >= length)
-    order = windows[np.lexsort((windows, rank[windows]))]
-    tied = np.concatenate([[False], rank[order[1:]] == rank[order[:-1]]]) if len(order) else np.zeros(0, bool)
-    smaller = previous_smaller(order, tied)
-    found = np.zeros(ends[-1], bool)
-    matched = np.flatnonzero(smaller >= 0)
-    found[order[matched]] = True
-    found[order[smaller[matched]]] = True
+    lengths, starts = factors(codes)
+    found = lengths >= length
+    found[starts[found]] = True
     return [found[e - s : e - 1] for e, s in zip(ends, sizes, strict=True)]
 
 
-def previous_smaller(order: np.ndarray, tied: np.ndarray) -> np.ndarray:
-    """For each place in suffix order the nearest earlier place with a smaller position in its run, or -1."""
-    out, stack = np.full(len(order), -1), []
-    positions = order.tolist()
-    for i in np.flatnonzero(tied | np.concatenate([tied[1:], [False]])[: len(tied)]).tolist():
-        if not tied[i]:
-            stack = []
-        while stack and positions[stack[-1]] >= positions[i]:
-            stack.pop()
-        if stack:
-            out[i] = stack[-1]
-        stack.append(i)
-    return out
-
-
 def runs(found: np.ndarray) -> list[tuple[int, int]]:
     """(first, last) of each run of true values."""
     edge = np.flatnonzero(np.diff(np.concatenate([[False], found, [False]])))

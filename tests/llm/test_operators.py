@@ -204,6 +204,22 @@ def test_passages(docs, texts, empty, monkeypatch):
     assert passages.remove_passages(empty.select("doc_id", "text")).count() == 0
 
 
+def test_longest_previous_factors():
+    r = np.random.default_rng(6)
+    for _ in range(60):
+        codes = np.append(r.integers(0, int(r.integers(1, 5)), int(r.integers(0, 40))), 9)
+        match = lambda a, b, c=codes: next(k for k in range(len(c)) if b + k == len(c) or c[a + k] != c[b + k])
+        sizes, starts = passages.factors(codes)
+        assert sizes.tolist() == [max((match(j, i) for j in range(i)), default=0) for i in range(len(codes))]
+        assert all((j == -1) if n == 0 else (j < i and match(j, i) == n) for i, (n, j) in enumerate(zip(sizes.tolist(), starts.tolist(), strict=True)))
+    order = np.array([4, 1, 3, 0, 2])
+    assert [x.tolist() for x in passages.smaller(order)] == [[-1, -1, 0, 1, -1], [-1, 0, -1, 0, 1]]
+    for _ in range(60):
+        regions = [bytes(r.integers(97, 99, int(r.integers(5, 30))).tolist()) for _ in range(4)]
+        counts = Counter(d[i : i + 5] for d in regions for i in range(len(d) - 4))
+        assert [f.tolist() for f in passages.repeated_windows(regions, 5)] == [[counts[d[i : i + 5]] > 1 for i in range(len(d))] for d in regions]
+
+
 def test_langid(spark, empty):
     r = random.Random(2)
     sounds = {"aa": ["ka", "ru", "to", "mi"], "bb": ["sch", "ung", "er", "pf"], "cc": ["да", "ни", "ко"]}
