@@ -1,19 +1,26 @@
 """BPE encoding by backtracking over Aho-Corasick matches, and decoding by an offset table.
 
-An automaton finds all tokens in a word. The encoder takes the longest token that fits
-on from left to right; two neighbours fit if undoing the merges at their border, latest
-first, never shows a pair that would have merged earlier (remembered in a table of
-pairs). A dead end gives up the last token, and no position is tried twice, so the time
-is linear in the word. The first way through is the only sequence of tokens whose
-neighbours all fit: the one that merging by rank yields.
+An automaton finds the longest token from each position of a word; a table gives the next
+shorter one with the same start. The encoder takes the longest token that fits on from
+left to right; two neighbours fit if undoing the merges at their border, latest first,
+never shows a pair that would have merged earlier (remembered in a table of pairs). A
+dead end gives up the last token, and no position is tried twice, so time and memory are
+linear in the word. The first way through is the only sequence of tokens whose neighbours
+all fit: the one that merging by rank yields.
+
+Rows are independent: repeated rows, null ids and rows of any size give a row each, an
+empty table none. Null and empty text has no tokens. Bytes that are no UTF-8 are read as
+U+FFFD. A text is read in parts of PART characters that end at a blank, so that a worker
+holds little besides the text; words of more than LONG characters are never remembered.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -27,8 +34,10 @@ from rillflow.llm.common import rows
 
 #: Stands for the end-of-word suffix; no byte-level character is a newline.
 END = "\n"
-#: Encoded chunks, and pieces of them, that a worker remembers before it starts afresh.
-REMEMBERED = 400_000
+#: Encoded chunks, pieces of them and pairs of tokens that a worker remembers before it
+#: starts afresh, the longest it remembers, and the characters of a part.
+REMEMBERED, LONG, PART = 1 << 18, 48, 1 << 16
+BLANK = re.compile("[ \n]")
 #: The pre-tokenizer's pattern, and the same for ASCII text in lower case.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
 ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t-\ra-z0-9]+")
@@ -36,6 +45,10 @@ WHITE = regex.compile(r"\p{White_Space}+")
 SEPARATORS = re.compile("[\x1c-\x1f]")  # str.split() takes them for white space, Unicode doesn't
 
 
+def read(text: str | bytes | None) -> str:
+    return text.decode("utf-8", "replace") if isinstance(text, bytes) else text or ""
+
+
 def byte_characters() -> list[str]:
     """The printable character that stands for each byte in a byte-level vocabulary."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -79,7 +92,9 @@ class Encoder(dict):
         for t, i in order.items():
             self.automaton.add_word(inner(t), i)
         self.automaton.make_automaton()
-        self.fitting: dict[tuple[int, int], bool] = {}
+        known = {inner(t): i for t, i in order.items()}
+        self.shorter = [next((known[t[:k]] for k in range(len(t) - 1, 0, -1) if t[:k] in known), -1) for t in known]
+        self.fitting: dict[int, bool] = {}
         self.pieces: dict[str, bytes] = {}
         self.characters = byte_characters()
         self.special = vocabulary["special"]
@@ -102,83 +117,110 @@ class Encoder(dict):
 
     def piece(self, piece: str) -> list[int]:
         """The ids of one piece of the pre-tokenizer."""
-        word = "".join([self.characters[b] for b in piece.encode()]) + END
-        starting: list[list[int]] = [[] for _ in word]
-        for end, t in self.automaton.iter(word):  # shorter ones of a start come first
-            starting[end + 1 - self.lengths[t]].append(t)
-        taken: list[tuple[int, int]] = []
-        dead: set[int] = set()
-        at, i, n, fitting, lengths = 0, len(starting[0]) - 1, len(word), self.fitting, self.lengths
+        word = (piece if piece.isascii() and piece.isprintable() else "".join([self.characters[b] for b in piece.encode()])) + END
+        lengths, shorter, fitting, n = self.lengths, self.shorter, self.fitting, len(word)
+        longest = [-1] * n
+        for end, t in self.automaton.iter(word):  # of a start, longer ones come later
+            longest[end + 1 - lengths[t]] = t
+        taken: list[int] = []
+        dead = bytearray(n + 1)
+        at, t = 0, longest[0]
         while at < n:
-            options, last = starting[at], taken[-1][0] if taken else -1
-            while i >= 0:
-                t = options[i]
-                if at + lengths[t] not in dead:
+            last = taken[-1] if taken else -1
+            while t >= 0:
+                if not dead[at + lengths[t]]:
                     if last < 0:
                         break
-                    pair = (last, t)
+                    pair = last << 32 | t
                     ok = fitting.get(pair)
                     if ok is None:
-                        if len(fitting) > REMEMBERED:
+                        if len(fitting) >= REMEMBERED:
                             fitting.clear()
                         ok = fitting[pair] = self.fits(last, t)
                     if ok:
                         break
-                i -= 1
-            if i >= 0:
-                taken.append((options[i], i))
-                at += lengths[options[i]]
-                i = len(starting[at]) - 1 if at < n else 0
+                t = shorter[t]
+            if t >= 0:
+                taken.append(t)
+                at += lengths[t]
+                t = longest[at] if at < n else -1
             else:
-                dead.add(at)
-                t, i = taken.pop()
+                dead[at] = 1
+                t = taken.pop()
                 at -= lengths[t]
-                i -= 1
-        return [self.ids[t] for t, _ in taken]
+                t = shorter[t]
+        return [self.ids[t] for t in taken]
 
     def __missing__(self, chunk: str) -> bytes:
         text = lower(unicodedata.normalize("NFC", chunk))
-        pieces = (ASCII_PIECES if text.isascii() else PIECES).findall(text)
-        known = self.pieces
-        if len(known) >= REMEMBERED:
-            known.clear()
-        for p in pieces:
-            if p not in known:
-                known[p] = np.array(self.piece(p), np.int32).tobytes()
-        out = b"".join([known[p] for p in pieces])
-        if len(self) >= REMEMBERED:
-            self.clear()
-        if len(chunk) <= 64:
+        known, out = self.pieces, []
+        for p in (ASCII_PIECES if text.isascii() else PIECES).findall(text):
+            ids = known.get(p)
+            if ids is None:
+                ids = np.array(self.piece(p), np.int32).tobytes()
+                if len(p) <= LONG:
+                    if len(known) >= REMEMBERED:
+                        known.clear()
+                    known[p] = ids
+            out.append(ids)
+        out = b"".join(out)
+        if len(chunk) <= LONG:
+            if len(self) >= REMEMBERED:
+                self.clear()
             self[chunk] = out
         return out
 
+    def parts(self, text: str) -> Iterator[bytes]:
+        """The ids of a text as int32 bytes, part by part."""
+        at = 0
+        while at < len(text):
+            end = BLANK.search(text, at + PART)  # no token holds a blank
+            part, at = (text[at : end.start()], end.end()) if end else (text[at:], len(text))
+            out = []
+            for i, piece in enumerate(self.special_pattern.split(part) if self.special_pattern and "<" in part else [part]):
+                if i % 2:
+                    out.append(np.array([self.special[piece]], np.int32).tobytes())
+                else:
+                    out += [self[c] for c in (WHITE.split(piece) if SEPARATORS.search(piece) else piece.split()) if c]
+            yield b"".join(out)
+
     def encode(self, text: str) -> bytes:
         """The ids of a text as int32 bytes."""
-        out = []
-        for i, part in enumerate(self.special_pattern.split(text) if self.special_pattern and "<" in text else [text]):
-            if i % 2:
-                out.append(np.array([self.special[part]], np.int32).tobytes())
-            else:
-                out += [self[c] for c in (WHITE.split(part) if SEPARATORS.search(part) else part.split()) if c]
-        return b"".join(out)
+        return b"".join(self.parts(text))
 
 
-class Decoder:
-    """All tokens in one buffer, each with the blank that follows it; token i starts at offsets[i]."""
+class Strings:
+    """Strings in one buffer, each with the blank that follows it; string i starts at offsets[i]."""
 
-    def __init__(self, vocabulary: dict):
-        tokens = {i: t for t, i in [*vocabulary["vocab"].items(), *vocabulary["special"].items()]}
-        parts = [tokens.get(i, "").encode() + b" " for i in range(max(tokens) + 1)]
+    def __init__(self, strings: list[str]):
+        parts = [s.encode() + b" " for s in strings]
         self.buffer = np.frombuffer(b"".join(parts), np.uint8)
         self.offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
 
+    def joined(self, ids: np.ndarray) -> Iterator[bytes]:
+        """The strings of ids, joined by blanks, part by part."""
+        for at in range(0, len(ids), PART):
+            i = ids[at : at + PART].astype(np.int64)
+            starts, lengths = self.offsets[i], self.offsets[i + 1] - self.offsets[i]
+            ends = np.cumsum(lengths)
+            out = self.buffer[np.arange(ends[-1]) + np.repeat(starts - ends + lengths, lengths)]
+            yield (out if at + PART < len(ids) else out[:-1]).tobytes()
+
+
+def token_strings(vocabulary: dict) -> list[str]:
+    """The string of each id."""
+    tokens = {i: t for t, i in [*vocabulary["vocab"].items(), *vocabulary["special"].items()]}
+    return [tokens.get(i, "") for i in range(max(tokens) + 1)]
+
+
+class Decoder(Strings):
+    """The offset table of all tokens."""
+
+    def __init__(self, vocabulary: dict):
+        super().__init__(token_strings(vocabulary))
+
     def decode(self, ids: np.ndarray) -> str:
-        if not len(ids):
-            return ""
-        starts, lengths = self.offsets[ids], self.offsets[ids + 1] - self.offsets[ids]
-        ends = np.cumsum(lengths)
-        at = np.arange(ends[-1]) + np.repeat(starts - ends + lengths, lengths)
-        return self.buffer[at[:-1]].tobytes().decode()
+        return b"".join(self.joined(ids)).decode()
 
 
 def _added(df: DataFrame, vocabulary: dict, column: str, source: str, kind: T.DataType, make: Callable) -> DataFrame:
@@ -205,13 +247,14 @@ def encode(docs: DataFrame, vocabulary: dict, text: str = "text", ids: str = "id
         encoder = Encoder(vocabulary)
 
         def f(batch, source):
-            found = [encoder.encode(t or "") for (t,) in rows(batch, source)]
+            found = [encoder.encode(read(t)) for (t,) in rows(batch, source)]
             offsets = np.cumsum([0, *(len(x) // 4 for x in found)]).astype(np.int32)
             return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), np.int32)))
 
         return f
 
-    return _added(docs, vocabulary, ids, text, T.ArrayType(T.IntegerType()), make)
+    raw = docs.withColumn("_raw", F.col(text).cast("binary"))
+    return _added(raw, vocabulary, ids, "_raw", T.ArrayType(T.IntegerType()), make).drop("_raw")
 
 
 def decode(encoded: DataFrame, vocabulary: dict, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -231,6 +274,26 @@ def decode(encoded: DataFrame, vocabulary: dict, ids: str = "ids", text: str = "
 
 
 def digests(docs: DataFrame, vocabulary: dict) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row of ``docs``."""
-    coded = decode(encode(docs.select("doc_id", "text"), vocabulary).drop("text"), vocabulary)
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row of ``docs`` (doc_id, text).
+
+    Encodes and decodes in one narrow pass: only the digests leave the worker.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # as large as the vocabulary file
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+
+    def run(batches):
+        encoder, tokens = Encoder(shared.value), Strings(token_strings(shared.value))
+        numbers = Strings(list(map(str, range(len(tokens.offsets) - 1))))
+        for batch in batches:
+            out = ([], [], [])
+            for (text,) in rows(batch, "text"):
+                ids = np.frombuffer(encoder.encode(read(text)), np.int32)
+                out[0].append(len(ids))
+                for strings, digests_ in ((numbers, out[1]), (tokens, out[2])):
+                    digest = hashlib.sha256()
+                    for part in strings.joined(ids):
+                        digest.update(part)
+                    digests_.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())], schema.names)
+
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)

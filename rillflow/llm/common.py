@@ -12,7 +12,9 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -147,8 +149,15 @@ def same(df: DataFrame, other: DataFrame, keys: list[str], how: str) -> DataFram
     return df.join(renamed, on, how).drop(*(f"_{k}_" for k in keys))
 
 
-def rows(batch: pa.RecordBatch, *names: str, step: int = 256) -> Iterator[tuple]:
-    """The rows of some columns as Python values, a few at a time to bound memory."""
+def rows(batch: pa.RecordBatch, *names: str, step: int = 256, size: int = 1 << 22) -> Iterator[tuple]:
+    """The rows of some columns as Python values: at most ``step`` at a time, and ``size`` bytes of text unless one row has more."""
     columns = [batch.column(batch.schema.get_field_index(n)) for n in names]
-    for at in range(0, batch.num_rows, step):
-        yield from zip(*(c.slice(at, step).to_pylist() for c in columns), strict=True)
+    sizes = np.zeros(batch.num_rows + 1, np.int64)
+    for c in columns:
+        if pa.types.is_binary(c.type) or pa.types.is_string(c.type):
+            sizes[1:] += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False)
+    sizes, at = np.cumsum(sizes), 0
+    while at < batch.num_rows:
+        to = max(at + 1, min(at + step, int(np.searchsorted(sizes, sizes[at] + size, "right")) - 1))
+        yield from zip(*(c.slice(at, to - at).to_pylist() for c in columns), strict=True)
+        at = to
