@@ -42,7 +42,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
         sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rillflow-"))
     path = f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}.parquet"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of written() that no DataFrame still in use reads; others are left alone."""
+    for df in tables:
+        if path := df.__dict__.pop("_written", None):
+            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -86,6 +96,41 @@ def hot_keys(counted: DataFrame, keys: list[str]) -> list[tuple]:
     return [tuple(r) for r in counted.where(F.col("rows") > HOT_ROWS).orderBy(F.desc("rows"), *keys).limit(HOT_KEYS).select(*keys).collect()]
 
 
+#: Bits of a filter for each key, the least and the most bits it has, and bits of a segment.
+#: 64 MB is the bound of what is broadcast: beyond 2**26 keys a filter lets more through
+#: (at 2**28 keys two thirds), so more rows reach the exact step after it.
+KEY_BITS, LEAST_BITS, MOST_BITS, SEGMENT_BITS = 8, 1 << 18, 1 << 29, 1 << 18
+
+
+def bit_filter(hashes: DataFrame, n: int | None = None) -> bytes:
+    """A filter of the column ``h`` (long), sized by its number of rows (``n``, or counted here)."""
+    n = hashes.count() if n is None else n
+    size = min(MOST_BITS, max(LEAST_BITS, 1 << (KEY_BITS * n - 1 if n else 0).bit_length()))
+
+    def merge(batches):
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            at = np.unique(batch.column(0).to_numpy() & (size - 1))
+            for segment in np.unique(at // SEGMENT_BITS):
+                bits = held.setdefault(int(segment), np.zeros(SEGMENT_BITS, bool))
+                bits[at[at // SEGMENT_BITS == segment] % SEGMENT_BITS] = True
+        for segment, bits in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([np.packbits(bits).tobytes()], pa.binary())], ["segment", "bits"])
+
+    segment = F.shiftright(F.col("h").bitwiseAND(F.lit(size - 1)), SEGMENT_BITS.bit_length() - 1)
+    parts = hashes.select("h").repartition(min(shuffle_width(hashes.sparkSession), size // SEGMENT_BITS), segment).mapInArrow(merge, "segment int, bits binary")
+    out = np.zeros(size // 8, np.uint8)
+    for at, bits in parts.collect():  # MOST_BITS / 8 bytes at most
+        out[at * SEGMENT_BITS // 8 : (at + 1) * SEGMENT_BITS // 8] = np.frombuffer(bits, np.uint8)
+    return out.tobytes()
+
+
+def holds(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which of the hashes (int64) a filter's bytes may hold."""
+    at = hashes & (8 * len(bits) - 1)
+    return ((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool)
+
+
 def _solve(batches):
     """Edges (u, v) -> (node, to), to being the smallest node of the component."""
     parent: dict = {}
@@ -128,18 +173,25 @@ def components(edges: DataFrame) -> DataFrame:
         hot, moved = hot_keys(best, ["node"]), edges
         for side in ("u", "v"):
             moved = lookup(moved, best.select(F.col("node").alias(side), "to"), [side], hot=hot).drop(side).withColumnRenamed("to", side)
-        edges = durable(moved.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-        steps.append(best.drop("rows"))
+        before, edges = edges, durable(moved.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+        discard(before)
+        steps.append(best)
     kind = edges.schema["u"].dataType.simpleString()
     known = durable(edges.repartition(1).mapInArrow(_solve, f"node {kind}, to {kind}"))
     rounds = len(steps)
     while steps:  # from the last round back to the first
         further = known.select(F.col("node").alias("to"), F.col("to").alias("_root"))
-        known = durable(lookup(steps.pop(), further, ["to"], "left").select("node", F.coalesce("_root", "to").alias("to")))
+        step, before = steps.pop(), known
+        known = durable(lookup(step.drop("rows"), further, ["to"], "left").select("node", F.coalesce("_root", "to").alias("to")))
+        discard(step, before)
     if rounds:
-        least = durable(known.groupBy("to").agg(F.min("node").alias("component")))
+        least, before = durable(known.groupBy("to").agg(F.min("node").alias("component"))), known
         known = durable(lookup(known, least, ["to"]).select("node", F.col("component").alias("to")))
-    return known.select("node", F.col("to").alias("component"))
+        discard(least, before)
+    discard(edges)
+    out = known.select("node", F.col("to").alias("component"))
+    out._written = known._written
+    return out
 
 
 def same(df: DataFrame, other: DataFrame, keys: list[str], how: str) -> DataFrame:

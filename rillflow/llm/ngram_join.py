@@ -1,10 +1,12 @@
-"""N-gram Jaccard join by prefix trees.
+"""N-gram Jaccard join: candidates by equal parts of their sets, then prefix trees inside groups of candidates.
 
 1. Documents with equal shingle sets are one class (a 128-bit digest of the set).
-2. A counting sketch over a quarter of all shingles gives every shingle a global order:
-   rare ones first. Two sets of Jaccard similarity t or more share one of the first
-   |x| - ceil(t |x|) + 1 shingles of each in any global order; of these, shingles that
-   the sketch proves unique can be left out. Classes that share one are candidates.
+2. Sets of Jaccard similarity t or more differ in at most D shingles, D in proportion to
+   their sizes. The hash space is cut into parts; of any D + 1 parts one is equal in
+   both. Each class posts a hash of what it holds of so many parts, and classes that
+   post the same hash are candidates. That needs no counts of the corpus, so nothing is
+   broadcast and nothing fills up: the rows posted are in proportion to the input. Parts
+   hold several shingles, so one shared passage seldom makes a candidate.
 3. Each connected group of candidates is joined in a trie of its globally ordered sets
    (frequent shingles first, so that near copies share long paths). A query's overlap
    is counted once for all sets below a node; subtrees are pruned by what sizes and
@@ -15,7 +17,9 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +27,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import HOT_KEYS, components, durable, hot_keys, lookup, rows, shuffle_width
+from rillflow.llm.common import HOT_KEYS, bit_filter, components, discard, durable, holds, hot_keys, lookup, rows, shuffle_width
 
-#: Cells of the sketch (a byte each once merged), cells of a segment, and the share of
-#: the hash space that it counts (one in SAMPLED).
-CELLS, SEGMENT, SAMPLED = 1 << 25, 1 << 18, 4
+#: Ratio of the sizes in a scheme of parts, and how often a set with too many empty parts is cut anew.
+RATIO, SEEDS = 1.5, 8
+#: One class in so many is looked at to find the hot hashes (which only decides how their rows are dealt).
+LOOKED_AT = 32
 #: Classes of a candidate group that one trie holds.
 BLOCK = 1024
 #: Digests that a task remembers in order not to send a set twice.
@@ -63,84 +68,149 @@ def least_overlap(size: int, percent: int) -> int:
     return -(-percent * size // 100)
 
 
-def cell_counts(held: list[np.ndarray]) -> list[tuple]:
-    """(segment, cells, which of them occur more than once, how often) of the sampled cells of some documents."""
-    cells, times = np.unique(np.concatenate(held), return_counts=True)
-    segments, out = cells // SEGMENT, []
-    for s in np.unique(segments):
-        a, b = np.searchsorted(segments, s), np.searchsorted(segments, s, "right")
-        more = np.flatnonzero(times[a:b] > 1).astype(np.uint32)
-        out.append((int(s), (cells[a:b] - s * SEGMENT).astype(np.uint32).tobytes(), more.tobytes(), times[a:b][more].astype(np.uint32).tobytes()))
-    return out
+def most_different(size: int, percent: int) -> int:
+    """The most shingles in which a set of ``size`` and a similar one that is no smaller can differ."""
+    return (size + 100 * size // percent) * (100 - percent) // (100 + percent)
 
 
-def read_once(docs: DataFrame, n: int) -> DataFrame:
-    """A row (doc_id, n_shingles, class) per document, and rows (segment, cells, more, times) for the sketch, in one reading."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    counts = {"segment": pa.int32(), "cells": pa.binary(), "more": pa.binary(), "times": pa.binary()}
+def _posted(size: int, parts: int, spare: int, percent: int) -> float:
+    """About how many hashes a set posts: parts, times the attempts until no more than ``spare`` are empty."""
+    posted = most_different(size, percent) + 1 + spare
+    empty = posted * (1 - 1 / parts) ** size
+    if empty > 40:
+        enough = 0.5 * math.erfc((empty - spare - 0.5) / math.sqrt(2 * empty))
+    else:
+        enough = sum(math.exp(-empty) * empty**i / math.factorial(i) for i in range(min(spare, 120) + 1))
+    return posted / max(enough, 1 / SEEDS)
+
+
+@functools.cache
+def scheme(number: int, percent: int) -> tuple[int, int, int, int]:
+    """(least size, most size, parts, spare parts) of a range of sizes.
+
+    A set and a similar larger one lie in one range or in neighbours. Spare parts make up
+    for empty ones, which prove nothing; as many are taken as make the fewest hashes.
+    """
+    low = scheme(number - 1, percent)[1] + 1 if number else 1
+    high = max(low, int(low * max(RATIO, 100 / percent + 0.1)))
+    different, best = most_different(high, percent), (math.inf, 0)
+    for spare in range(0, different + 9, 1 + different // 200):
+        cost = sum(_posted(size, different + 1 + spare, spare, percent) for size in (low, (low + high) // 2, high))
+        best = min(best, (cost, spare))
+    return low, high, different + 1 + best[1], best[1]
 
-    def described(ids: pa.Array, sizes: list, digests: list) -> pa.RecordBatch:
-        columns = [ids, pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), *(pa.nulls(len(sizes), t) for t in counts.values())]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "class", *counts])
 
-    def counted(held: list[np.ndarray], id_type: pa.DataType) -> pa.RecordBatch:
-        found = cell_counts(held)
-        empty = [pa.nulls(len(found), t) for t in (id_type, pa.int64(), pa.binary())]
-        columns = [pa.array(c, t) for c, t in zip(zip(*found, strict=True), counts.values(), strict=True)]
-        return pa.RecordBatch.from_arrays([*empty, *columns], ["doc_id", "n_shingles", "class", *counts])
+@functools.lru_cache(100_000)
+def schemes(size: int, percent: int) -> tuple[int, ...]:
+    """The ranges in which a set of this size posts: its own and, if a similar set may be there, the one below."""
+    number = 0
+    while scheme(number, percent)[1] < size:
+        number += 1
+    return (number - 1, number) if number and scheme(number - 1, percent)[1] >= least_overlap(size, percent) else (number,)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        return x ^ (x >> np.uint64(29))
+
+
+def parts_of(found: np.ndarray, percent: int) -> np.ndarray:
+    """Hashes of parts of a set, of which any similar set posts one at least.
+
+    If two similar sets share no posted part that holds a shingle, those of the first parts
+    that are equal are empty in both, more than are spare: both then cut the hash
+    space anew by the next seed, and in the end post their empty parts as well.
+    """
+    out = []
+    for number in schemes(len(found), percent):
+        _, high, parts, spare = scheme(number, percent)
+        posted = min(parts, most_different(min(len(found), high), percent) + 1 + spare)
+        hashes = found
+        for seed in range(SEEDS):
+            if seed:
+                hashes = np.sort(_mixed(found + np.uint64(seed * 0x9E3779B97F4A7C15 % 2**64)))
+            at = ((hashes >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+            starts = np.searchsorted(at, np.arange(posted + 1, dtype=np.uint64))
+            full = starts[1:] > starts[:-1]
+            with np.errstate(over="ignore"):
+                sums = np.zeros(posted, np.uint64)
+                if full.any():
+                    sums[full] = np.add.reduceat(_mixed(hashes[: starts[-1]]), starts[:-1][full])
+                keys = _mixed(_mixed(sums) + np.arange(posted, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407) + np.uint64(number * SEEDS + seed) * np.uint64(0x9FB21C651E98DF25))
+            again = posted - int(np.count_nonzero(full)) > spare
+            out.append(keys if again and seed == SEEDS - 1 else keys[full])
+            if not again:
+                break
+    return np.concatenate(out)
+
+
+def described(docs: DataFrame, n: int) -> DataFrame:
+    """(doc_id, n_shingles, class, short, text_hash) of each row; class and short are null for an empty set."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        held, size, id_type = [], 0, None
         for batch in batches:
-            sizes, digests, id_type = [], [], batch.schema.field(0).type
+            sizes, digests, hashes = [], [], []
             for (text,) in rows(batch, "text"):
                 found = shingles(text, n)
                 sizes.append(len(found))
                 digests.append(digest(found) if len(found) else None)
-                sampled = found[found % np.uint64(SAMPLED) == 0] // np.uint64(SAMPLED) % np.uint64(CELLS)
-                if len(sampled):
-                    held.append(sampled.astype(np.int64))
-                    size += len(sampled)
-                if size > 1 << 21:
-                    yield counted(held, id_type)
-                    held, size = [], 0
-            yield described(batch.column(0), sizes, digests)
-        if size:
-            yield counted(held, id_type)
+                hashes.append(_text_hash(text) if len(found) else None)
+            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array([d and _short(d) for d in digests], pa.int64()), pa.array(hashes, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "class", "short", "text_hash"])
+
+    return docs.mapInArrow(run, f"doc_id {kind}, n_shingles long, class binary, short long, text_hash long")
 
-    return docs.mapInArrow(run, f"doc_id {kind}, n_shingles long, class binary, segment int, cells binary, more binary, times binary")
 
+def _text_hash(text: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(text) - 2**63
 
-def sketch(parts: DataFrame) -> bytes:
-    """For each cell 0, 1 or, from 2 on, a number that grows with the logarithm of its count."""
 
-    def merge(batches):
-        total: dict[int, np.ndarray] = {}
+def _short(name: bytes) -> int:
+    return int.from_bytes(name[:8], "big", signed=True)
+
+
+def posted(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """(key, u) for each hash that a class posts; a task posts a class it remembers once."""
+
+    def run(batches):
+        seen: set[bytes] = set()
         for batch in batches:
-            for segment, cells, more, times in rows(batch, *("segment", "cells", "more", "times"), step=16):
-                t = total.setdefault(segment, np.zeros(SEGMENT, np.uint32))
-                at = np.frombuffer(cells, np.uint32)
-                t[at] += np.uint32(1)
-                t[at[np.frombuffer(more, np.uint32)]] += np.frombuffer(times, np.uint32) - np.uint32(1)
-        for segment, t in total.items():
-            level = np.where(t < 2, t, np.ceil(8 * np.log2(np.maximum(t, 1))) - 6).clip(0, 254).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([level.tobytes()], pa.binary())], ["segment", "levels"])
-
-    merged = parts.repartition(min(CELLS // SEGMENT, shuffle_width(parts.sparkSession)), "segment").mapInArrow(merge, "segment int, levels binary")
-    out = np.zeros(CELLS, np.uint8)
-    for segment, levels in merged.collect():  # CELLS bytes at most
-        out[segment * SEGMENT : (segment + 1) * SEGMENT] = np.frombuffer(levels, np.uint8)
-    return out.tobytes()
-
-
-def prefix(found: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarray:
-    """The shingles of the prefix in global order (sampled by level, then the rest) without the unique ones."""
-    take = len(found) - least_overlap(len(found), percent) + 1
-    sampled = found % np.uint64(SAMPLED) == 0
-    level = np.full(len(found), 255, np.uint8)
-    level[sampled] = levels[(found[sampled] // np.uint64(SAMPLED) % np.uint64(CELLS)).astype(np.int64)]
-    order = np.lexsort((found, level))[:take]
-    return found[order[level[order] > 1]]
+            keys, names, size = [], [], 0
+            for (text,) in rows(batch, "text"):
+                found = shingles(text, n)
+                if most_different(len(found), percent) == 0 and 100 * (len(found) - 1) < percent * len(found):
+                    continue  # similar to equal sets only
+                name = digest(found)
+                if name not in seen:
+                    if len(seen) >= REMEMBERED:
+                        seen.clear()
+                    seen.add(name)
+                    keys.append(parts_of(found, percent).view(np.int64))
+                    names.append(np.full(len(keys[-1]), _short(name)))
+                    size += len(keys[-1])
+                if size > 1 << 17:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, names)], ["key", "u"])
+                    keys, names, size = [], [], 0
+            if size:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, names)], ["key", "u"])
+
+    return docs.select("text").mapInArrow(run, "key long, u long")
+
+
+def _stars(batches):
+    """Rows (key, u) in order -> an edge from the first u of a key to each other one."""
+    last, hub = None, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, u = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        start = np.concatenate([[key[0] != last if last is not None else True], key[1:] != key[:-1]])
+        hubs = np.where(np.cumsum(start) == 0, hub, u[np.maximum.accumulate(np.where(start, np.arange(len(key)), 0))])
+        edges = np.unique(np.stack([hubs, u])[:, hubs != u], axis=1)
+        last, hub = key[-1], hubs[-1]
+        yield pa.RecordBatch.from_arrays([pa.array(edges[0]), pa.array(edges[1])], ["u", "v"])
 
 
 class Trie:
@@ -228,50 +298,58 @@ def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
     """doc_id, n_shingles, component_id for each row of ``docs`` (doc_id, text).
 
     Documents link when 100 * intersection >= percent * union of their sets of n-word
-    shingles; empty sets link with nothing. Rows without doc_id get a null component
-    and link nothing by their id, though their text may bridge others. Rows that share
-    a doc_id share the component of the first by id. Shingles are compared by 64-bit hashes.
+    shingles; empty sets (null or blank text) link with nothing. Rows without doc_id get
+    a null component and link nothing by their id, though their text may bridge others.
+    Repeated rows are answered each; rows that share a doc_id with different texts get
+    their own text's component. Other columns are not looked at. An empty table gives an
+    empty result. Whole texts are read, one at a time. Shingles are compared by 64-bit
+    hashes.
     """
-    spark = docs.sparkSession
-
+    spark, width = docs.sparkSession, shuffle_width(docs.sparkSession)
     raw = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    read = durable(read_once(raw, n))
-    known = read.where("segment is null").select("doc_id", "n_shingles", "class")
-    shared = spark.sparkContext.broadcast(sketch(read.where("segment is not null").select("segment", "cells", "more", "times")))
+    known = durable(described(raw, n))
+    classes = durable(known.where("class is not null").groupBy("class", "short").agg(F.min("doc_id").alias("first"), F.min("text_hash").alias("text_hash")))
+
+    every = posted(raw, n, percent)
+    some = posted(raw.where(F.pmod(F.xxhash64("text"), F.lit(LOOKED_AT)) == 0), n, percent)
+    hot = hot_keys(some.groupBy("key").agg(F.count(F.lit(1)).alias("rows")), ["key"])
+    cold = every.join(F.broadcast(spark.createDataFrame(hot, "key long")), "key", "left_anti") if hot else every
+    edges = cold.repartition(width, "key").sortWithinPartitions("key", "u").mapInArrow(_stars, "u long, v long")
+    if hot:  # HOT_KEYS at most; a key's least class is found by partial aggregation
+        warm = durable(every.join(F.broadcast(spark.createDataFrame(hot, "key long")), "key", "left_semi").distinct())
+        edges = edges.unionByName(warm.join(F.broadcast(warm.groupBy("key").agg(F.min("u").alias("v"))), "key").select("v", "u"))
+    groups = components(edges)
+    groups = durable(classes.select("class", "short", "text_hash").join(groups, F.col("short") == F.col("node")).select("class", "text_hash", "component"))
+    sizes = durable(groups.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > BLOCK))
+    few = sizes.limit(HOT_KEYS + 1).count() <= HOT_KEYS
+    parts = F.coalesce(F.ceil(F.col("size") / BLOCK), F.lit(1)).cast("int")
+    dealt = groups.join(F.broadcast(sizes) if few else sizes, "component", "left").withColumn("parts", parts)
 
-    def candidates(batches):
-        """(class, prefix shingles, a text of the class) of sets that may have a near copy."""
-        levels, seen = np.frombuffer(shared.value, np.uint8), set()
+    # A text of each candidate class, found by its hash; a filter keeps other texts from being shuffled.
+    shared = spark.sparkContext.broadcast(bit_filter(groups.select(F.col("text_hash").alias("h"))))
+
+    def wanted(batches):
+        bits, seen = np.frombuffer(shared.value, np.uint8), set()
         for batch in batches:
-            out = ([], [], [])
-            for (text,) in rows(batch, "text"):
-                found = shingles(text, n)
-                if 100 * (len(found) - 1) >= percent * len(found) or 100 * len(found) >= percent * (len(found) + 1):
-                    name = digest(found)
-                    if name not in seen and len(keys := prefix(found, levels, percent)):
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                column = part.column(0)
+                ends, data = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].tolist(), memoryview(column.buffers()[2] or b"")
+                hashes = np.array([xxhash.xxh3_64_intdigest(data[a:b]) - 2**63 for a, b in zip(ends[:-1], ends[1:], strict=True)], np.int64)
+                keep = []
+                for i in np.flatnonzero(holds(bits, hashes)).tolist():
+                    if hashes[i] not in seen:
                         if len(seen) >= REMEMBERED:
                             seen.clear()
-                        seen.add(name)
-                        for values, value in zip(out, (name, keys.view(np.int64), text), strict=True):
-                            values.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.list_(pa.int64())), pa.array(out[2], pa.binary())], ["class", "keys", "text"])
-
-    # Texts are kept, not sets of hashes: they pack to a fraction of the size. Grouping goes by a
-    # 64-bit hash of the class, as classes that share one would only be compared in vain.
-    found = durable(raw.mapInArrow(candidates, "class binary, keys array<long>, text binary"))
-    posted = found.select(F.xxhash64("class").alias("u"), F.explode("keys").alias("key"))
-    hubs = posted.groupBy("key").agg(F.min("u").alias("v"), F.max("u").alias("_most"), F.count(F.lit(1)).alias("rows"))
-    hubs = durable(hubs.where("v < _most").select("key", "v", "rows"))
-    groups = components(lookup(posted, hubs.select("key", "v"), ["key"], hot=hot_keys(hubs, ["key"])).select("u", "v"))
-    sizes = durable(groups.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > BLOCK))
-    few = sizes.limit(HOT_KEYS + 1).count() <= HOT_KEYS
-    groups = groups.join(F.broadcast(sizes) if few else sizes, "component", "left").withColumnRenamed("node", "short")
-    groups = durable(groups.withColumn("parts", F.coalesce(F.ceil(F.col("size") / BLOCK), F.lit(1)).cast("int")).drop("size"))
+                        seen.add(hashes[i])
+                        keep.append(i)
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[keep], pa.int64()), column.take(pa.array(keep, pa.int64()))], ["text_hash", "text"])
 
-    dealt = found.select("class", F.xxhash64("class").alias("short"), "text").join(groups, "short").withColumn("own", F.pmod(F.xxhash64("class"), "parts").cast("int"))
+    texts = raw.where("text is not null").select("text").mapInArrow(wanted, "text_hash long, text binary")
+    dealt = texts.join(dealt, "text_hash").withColumn("own", F.pmod(F.xxhash64("class"), "parts").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.select("component", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "class", "text")
-    dealt = dealt.repartition(shuffle_width(spark), "component", "lo", "hi").sortWithinPartitions("component", "lo", "hi", "class")
+    dealt = dealt.repartition(width, "component", "lo", "hi").sortWithinPartitions("component", "lo", "hi", "class")
 
     def join(batches):
         key, names, sets = None, [], []
@@ -287,17 +365,19 @@ def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
                         yield flush()
                     key, names, sets = (component, lo, hi), [], []
                 if not names or names[-1] != name:  # tasks may have sent a class each
-                    names.append(name)
-                    sets.append(shingles(text, n))
+                    found = shingles(text, n)
+                    if digest(found) == name:  # else another text of the same hash
+                        names.append(name)
+                        sets.append(found)
         yield flush()
 
     whole = components(dealt.mapInArrow(join, "u binary, v binary"))
-    first = known.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("first"))
-    first = durable(first.join(whole, F.col("class") == F.col("node"), "left").select("class", F.coalesce("component", "class").alias("component"), "first"))
+    first = durable(classes.join(whole, F.col("class") == F.col("node"), "left").select("class", F.coalesce("component", "class").alias("component"), "first"))
     lowest = durable(first.groupBy("component").agg(F.min("first").alias("component_id")))
-    first = durable(lookup(first.select("class", "component"), lowest, ["component"]).select("class", "component_id"))
+    ids = durable(lookup(first.select("class", "component"), lowest, ["component"]).select("class", "component_id"))
+    discard(classes, groups, sizes, first, lowest, whole)
     empty = known.where("class is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    out = lookup(known.where("class is not null"), first, ["class"]).select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    out = lookup(known.where("class is not null"), ids, ["class"]).select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
     return out.unionByName(empty)
 
 

@@ -133,6 +133,21 @@ def test_ngram_join(docs, texts, empty, n, percent, block, monkeypatch):
     assert ngram_join.near_duplicates(empty, n, percent).count() == 0
 
 
+def test_similar_sets_post_a_common_hash():
+    r = np.random.default_rng(1)
+    for percent in (50, 80, 90):
+        met = 0
+        for _ in range(1500):
+            base = np.unique(r.integers(0, 2**64, int(r.integers(1, 90)), dtype=np.uint64))
+            changed = int(r.integers(0, ngram_join.most_different(len(base), percent) + 1))
+            gone = int(r.integers(0, changed + 1))
+            other = np.unique(np.concatenate([r.permutation(base)[gone:], r.integers(0, 2**64, changed - gone, dtype=np.uint64)]))
+            if len(other) and 100 * len(np.intersect1d(base, other)) >= percent * len(np.union1d(base, other)):
+                met += 1
+                assert len(np.intersect1d(ngram_join.parts_of(base, percent), ngram_join.parts_of(other, percent)))
+        assert met > 500
+
+
 def test_join_sets_finds_all_components():
     r = random.Random(9)
     for percent in (50, 80, 90):
