@@ -64,6 +64,14 @@ def durable(df: DataFrame) -> DataFrame:
     return written(df, "step")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores as it takes to differ from all columns (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def words(text) -> F.Column:
     """The words of a text column as an array (null: none)."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE_RUN), "")
