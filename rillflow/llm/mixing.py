@@ -68,12 +68,17 @@ def plan(docs: DataFrame, sizes: DataFrame) -> DataFrame:
     d = d.join(starts, ["_null", "_name", "_bucket"]).withColumn("_begin", F.col("_in") + F.col("_start"))
     copies = F.filter(F.sequence(F.lit(0), F.lit(MOST - 1)), lambda e: 2 * (e * F.col("source_size") + F.col("_begin")) + F.col("size") < 2 * F.col("target"))
     demand = lambda e: (e * F.col("source_size") + F.col("_begin")) / F.col("target")
-    when = lambda e: (F.sqrt(F.pow(1 - F.col("ramp"), 2) + 4 * F.col("ramp") * demand(e)) - 1 + F.col("ramp")) / (2 * F.col("ramp"))
+    when = lambda e: (F.sqrt((1 - F.col("ramp")) * (1 - F.col("ramp")) + 4 * F.col("ramp") * demand(e)) - 1 + F.col("ramp")) / (2 * F.col("ramp"))
     return d.withColumn("positions", F.transform(copies, when)).drop("_null", "_name", "_bucket", "_in", "_start", "_begin", "ramp")
 
 
+def _order():
+    """The order within a source: a hash of the id, or of the text where there is none, so that such rows spread out too."""
+    return F.md5(F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit("")))
+
+
 def _slim(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "source", word_count().alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("h"))
+    return docs.select("doc_id", "source", word_count().alias("size"), _order().alias("h"))
 
 
 def mixing_plan(docs: DataFrame) -> DataFrame:
@@ -81,16 +86,17 @@ def mixing_plan(docs: DataFrame) -> DataFrame:
 
     Null text has size 0, null sources are one source, the last. Rows that share an id
     are ordered by size; equal rows are interchangeable. A table without words gets
-    targets of 0.
+    targets of 0 and no positions, an empty table an empty result. Texts are only counted,
+    whole; other columns are not looked at.
     """
     slim = durable(_slim(docs))
     return plan(slim, slim).drop("h")
 
 
 def mixture(docs: DataFrame) -> DataFrame:
-    """The training stream: the columns of ``docs``, a row for each copy, sorted by position."""
+    """The training stream: the columns of ``docs`` (whatever their names), a row for each copy, sorted by position."""
     slim = durable(_slim(docs))
     names = [f"_in_{i}" for i in range(len(docs.columns))]
-    whole = docs.withColumns(dict(zip(names, map(F.col, docs.columns), strict=True))).select(*names, "doc_id", "source", word_count().alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("h"))
+    whole = docs.withColumns(dict(zip(names, map(F.col, docs.columns), strict=True))).select(*names, "doc_id", "source", word_count().alias("size"), _order().alias("h"))
     placed = plan(whole, slim).select(*names, "h", F.explode("positions").alias("_position"))
     return placed.orderBy("_position", "h").select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)))

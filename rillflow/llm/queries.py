@@ -27,7 +27,13 @@ def op2_ngram_join(spark, sf_dir):
 
 def op3_mixing(spark, sf_dir):
     plan = mixing.mixing_plan(_table(spark, sf_dir, "documents"))
-    return plan.select("doc_id", "size", "source_size", "target", (F.size("positions") * F.col("size")).alias("taken"))
+    taken = plan.select("doc_id", "size", "source_size", "target", (F.size("positions") * F.col("size")).alias("taken"), _millionth(F.try_element_at("positions", F.lit(1))).alias("first_position"), _millionth(F.try_element_at("positions", F.lit(-1))).alias("last_position"))
+    return taken.orderBy("first_position", "doc_id")
+
+
+def _millionth(position):
+    """A training time in [0, 1] as whole millionths, for an exact comparison."""
+    return F.floor(position * 1_000_000).cast("long")
 
 
 def op4_line_dedup(spark, sf_dir):
@@ -70,25 +76,30 @@ _SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _MIX = f"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\v\\f\\r]+')) AS BIGINT) AS size,
-         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+         md5(coalesce(CAST(doc_id AS VARCHAR), text, '')) AS h
   FROM documents),
 s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
-         [5, 2, 1][CAST((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1 AS INTEGER)] AS weight
+         [5, 2, 1][CAST((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1 AS INTEGER)] AS weight,
+         CAST([-0.4, 0.2, 0.6][CAST((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1 AS INTEGER)] AS DOUBLE) AS ramp
   FROM d GROUP BY source),
 a AS (SELECT *, 3 * source_size AS lim, 3 * source_size / weight AS ratio FROM s),
 b AS (
   SELECT *, (sum(source_size) OVER () - coalesce(sum(lim) OVER w, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER w, 0)) AS level
   FROM a WINDOW w AS (ORDER BY ratio, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 c AS (SELECT *, first_value(CASE WHEN level < ratio THEN level END IGNORE NULLS) OVER (ORDER BY ratio, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS shared FROM b),
-t AS (SELECT source, source_size, CASE WHEN shared IS NULL OR ratio <= shared THEN CAST(lim AS DOUBLE) ELSE CAST(shared * weight AS DOUBLE) END AS target FROM c),
+t AS (SELECT source, source_size, ramp, CASE WHEN shared IS NULL OR ratio <= shared THEN CAST(lim AS DOUBLE) ELSE CAST(shared * weight AS DOUBLE) END AS target FROM c),
 p AS (
-  SELECT d.*, t.source_size, t.target,
+  SELECT d.*, t.source_size, t.target, t.ramp,
          coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-       CAST(size * len(list_filter([0, 1, 2], lambda e: 2 * (e * source_size + start) + size < 2 * target)) AS BIGINT) AS taken
-FROM p"""
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+q AS (
+  SELECT *, list_transform(list_filter([0, 1, 2], lambda e: 2 * (e * source_size + start) + size < 2 * target),
+    lambda e: (sqrt((1 - ramp) * (1 - ramp) + 4 * ramp * ((e * source_size + start) / target)) - 1 + ramp) / (2 * ramp)) AS positions
+  FROM p)
+SELECT doc_id, size, source_size, target, CAST(size * len(positions) AS BIGINT) AS taken,
+       CAST(floor(positions[1] * 1000000) AS BIGINT) AS first_position, CAST(floor(positions[-1] * 1000000) AS BIGINT) AS last_position
+FROM q"""
 _LINES = f"""
 WITH l AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i
