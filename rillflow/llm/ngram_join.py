@@ -5,8 +5,10 @@
    their sizes. The hash space is cut into parts; of any D + 1 parts one is equal in
    both. Each class posts a hash of what it holds of so many parts, and classes that
    post the same hash are candidates. That needs no counts of the corpus, so nothing is
-   broadcast and nothing fills up: the rows posted are in proportion to the input. Parts
-   hold several shingles, so one shared passage seldom makes a candidate.
+   broadcast and nothing fills up: the rows posted are in proportion to the input. Of up
+   to PAIRED classes with a hash, those pairs go on whose sketches (counts of shingles by
+   CELLS ranges of hashes) let them be similar, so that groups of candidates don't grow
+   by chance meetings; more classes with one hash are a group at once.
 3. Each connected group of candidates is joined in a trie of its globally ordered sets
    (frequent shingles first, so that near copies share long paths). A query's overlap
    is counted once for all sets below a node; subtrees are pruned by what sizes and
@@ -33,6 +35,8 @@ from rillflow.llm.common import HOT_KEYS, bit_filter, components, discard, durab
 RATIO, SEEDS = 1.5, 8
 #: One class in so many is looked at to find the hot hashes (which only decides how their rows are dealt).
 LOOKED_AT = 32
+#: Classes with one hash whose pairs are looked at, and cells of a sketch (a byte each).
+PAIRED, CELLS = 64, 256
 #: Classes of a candidate group that one trie holds.
 BLOCK = 1024
 #: Digests that a task remembers in order not to send a set twice.
@@ -146,21 +150,33 @@ def parts_of(found: np.ndarray, percent: int) -> np.ndarray:
 
 
 def described(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n_shingles, class, short, text_hash) of each row; class and short are null for an empty set."""
+    """(doc_id, n_shingles, class, short, text_hash, sketch) of each row; null from class on for an empty set."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            sizes, digests, hashes = [], [], []
+            sizes, digests, hashes, sketches = [], [], [], []
             for (text,) in rows(batch, "text"):
                 found = shingles(text, n)
                 sizes.append(len(found))
                 digests.append(digest(found) if len(found) else None)
                 hashes.append(_text_hash(text) if len(found) else None)
-            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array([d and _short(d) for d in digests], pa.int64()), pa.array(hashes, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "class", "short", "text_hash"])
+                sketches.append(sketch(found) if len(found) else None)
+            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array([d and _short(d) for d in digests], pa.int64()), pa.array(hashes, pa.int64()), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "class", "short", "text_hash", "sketch"])
 
-    return docs.mapInArrow(run, f"doc_id {kind}, n_shingles long, class binary, short long, text_hash long")
+    return docs.mapInArrow(run, f"doc_id {kind}, n_shingles long, class binary, short long, text_hash long, sketch binary")
+
+
+def sketch(found: np.ndarray) -> bytes:
+    """How many shingles fall into each cell, 255 at most."""
+    return np.minimum(np.bincount((found >> np.uint64(24) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes()
+
+
+def may_be_similar(a: np.ndarray, b: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets with the sketches a and b (rows) and these sums of sizes can be similar; full cells prove nothing."""
+    least = np.minimum(a, b)
+    return ((100 + percent) * least.sum(axis=1, dtype=np.int64) >= percent * sizes) | (least == 255).any(axis=1)
 
 
 def _text_hash(text: bytes) -> int:
@@ -199,18 +215,41 @@ def posted(docs: DataFrame, n: int, percent: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "key long, u long")
 
 
-def _stars(batches):
-    """Rows (key, u) in order -> an edge from the first u of a key to each other one."""
-    last, hub = None, 0
+def _meetings(batches):
+    """Rows (key, u) in order -> pairs (u, v) of classes that share a key; of more than PAIRED classes, those with the first (sure)."""
+    last, tail, large = 0, np.zeros(0, np.int64), False
+
+    def out(u: np.ndarray, v: np.ndarray, sure: bool) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(np.full(len(u), sure))], ["u", "v", "sure"])
+
+    def pairs(u: np.ndarray, ends: np.ndarray):
+        """Of each row with all later rows before its end."""
+        at, by = np.arange(len(u)), 1
+        while len(at := at[at + by < ends[at]]):
+            yield out(u[at], u[at + by], False)
+            by += 1
+
     for batch in batches:
-        if not batch.num_rows:
-            continue
         key, u = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        start = np.concatenate([[key[0] != last if last is not None else True], key[1:] != key[:-1]])
-        hubs = np.where(np.cumsum(start) == 0, hub, u[np.maximum.accumulate(np.where(start, np.arange(len(key)), 0))])
-        edges = np.unique(np.stack([hubs, u])[:, hubs != u], axis=1)
-        last, hub = key[-1], hubs[-1]
-        yield pa.RecordBatch.from_arrays([pa.array(edges[0]), pa.array(edges[1])], ["u", "v"])
+        key, u = np.concatenate([np.full(len(tail), last), key]), np.concatenate([tail, u])
+        if not len(key):
+            continue
+        new = np.concatenate([[True], (key[1:] != key[:-1]) | (u[1:] != u[:-1])])
+        key, u = key[new], u[new]
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        sizes = np.diff(np.append(starts, len(key)))
+        big = sizes > PAIRED
+        big[0] |= large
+        hubs = np.repeat(u[starts], sizes)
+        ends = np.repeat(starts + np.where(big, 0, sizes), sizes)
+        crowd = np.repeat(big, sizes) & (hubs != u)
+        yield out(hubs[crowd], u[crowd], True)
+        last, large = key[-1], bool(big[-1])
+        tail = u[starts[-1] : starts[-1] + 1] if large else u[starts[-1] :]
+        ends[starts[-1] :] = 0  # not over yet
+        yield from pairs(u, ends)
+    if not large:
+        yield from pairs(tail, np.full(len(tail), len(tail)))
 
 
 class Trie:
@@ -308,17 +347,29 @@ def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
     spark, width = docs.sparkSession, shuffle_width(docs.sparkSession)
     raw = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
     known = durable(described(raw, n))
-    classes = durable(known.where("class is not null").groupBy("class", "short").agg(F.min("doc_id").alias("first"), F.min("text_hash").alias("text_hash")))
+    classes = durable(known.where("class is not null").groupBy("class", "short").agg(F.min("doc_id").alias("first"), F.min("text_hash").alias("text_hash"), F.min("n_shingles").alias("size"), F.min("sketch").alias("sketch")))
 
     every = posted(raw, n, percent)
     some = posted(raw.where(F.pmod(F.xxhash64("text"), F.lit(LOOKED_AT)) == 0), n, percent)
     hot = hot_keys(some.groupBy("key").agg(F.count(F.lit(1)).alias("rows")), ["key"])
     cold = every.join(F.broadcast(spark.createDataFrame(hot, "key long")), "key", "left_anti") if hot else every
-    edges = cold.repartition(width, "key").sortWithinPartitions("key", "u").mapInArrow(_stars, "u long, v long")
+    edges = cold.repartition(width, "key").sortWithinPartitions("key", "u").mapInArrow(_meetings, "u long, v long, sure boolean")
     if hot:  # HOT_KEYS at most; a key's least class is found by partial aggregation
         warm = durable(every.join(F.broadcast(spark.createDataFrame(hot, "key long")), "key", "left_semi").distinct())
-        edges = edges.unionByName(warm.join(F.broadcast(warm.groupBy("key").agg(F.min("u").alias("v"))), "key").select("v", "u"))
-    groups = components(edges)
+        edges = edges.unionByName(warm.join(F.broadcast(warm.groupBy("key").agg(F.min("u").alias("v"))), "key").select("v", "u", F.lit(True).alias("sure")))
+    edges = durable(edges.where("u <> v").groupBy("u", "v").agg(F.max("sure").alias("sure")))
+
+    def similar(batches):
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, CELLS) for k in (2, 3))
+            found = pa.array(may_be_similar(a, b, batch.column(4).to_numpy(), percent))
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(found) for k in (0, 1)], ["u", "v"])
+
+    side = lambda name: classes.select(F.col("short").alias(name), F.col("size").alias(f"size_{name}"), F.col("sketch").alias(f"sketch_{name}"))
+    sketched = edges.where("not sure").select("u", "v").join(side("u"), "u").join(side("v"), "v")
+    sketched = sketched.where(F.least("size_u", "size_v") * 100 >= F.greatest("size_u", "size_v") * percent)
+    sketched = sketched.select("u", "v", "sketch_u", "sketch_v", F.col("size_u") + F.col("size_v")).mapInArrow(similar, "u long, v long")
+    groups = components(sketched.unionByName(edges.where("sure").select("u", "v")))
     groups = durable(classes.select("class", "short", "text_hash").join(groups, F.col("short") == F.col("node")).select("class", "text_hash", "component"))
     sizes = durable(groups.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > BLOCK))
     few = sizes.limit(HOT_KEYS + 1).count() <= HOT_KEYS
@@ -375,7 +426,7 @@ def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
     first = durable(classes.join(whole, F.col("class") == F.col("node"), "left").select("class", F.coalesce("component", "class").alias("component"), "first"))
     lowest = durable(first.groupBy("component").agg(F.min("first").alias("component_id")))
     ids = durable(lookup(first.select("class", "component"), lowest, ["component"]).select("class", "component_id"))
-    discard(classes, groups, sizes, first, lowest, whole)
+    discard(classes, edges, groups, sizes, first, lowest, whole)
     empty = known.where("class is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     out = lookup(known.where("class is not null"), ids, ["class"]).select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
     return out.unionByName(empty)
