@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rillflow.llm.common import SPACES, durable, lookup, rows, same, shuffle_width
+from rillflow.llm.common import SPACES, bit_filter, discard, durable, free_name, holds, lookup, rows, same, shuffle_width
 
 #: Bits of each Bloom filter (8 MB at any size of the input; a fuller filter only
 #: means more suspects), bits of a segment, and hashes gathered before they are emitted.
@@ -110,7 +110,9 @@ def drop_repeated_lines(docs: DataFrame, least: int = 20, documents: int = 3, fi
     as one empty line and stays null. A null doc_id counts as a document but is never the
     largest; where all holders have one, nothing is dropped. Rows that share a doc_id
     count as documents each and keep or lose a line alike. Other columns are passed on;
-    an input column n_lines or n_dropped is replaced.
+    an input column n_lines or n_dropped is replaced. Texts of any length are read whole,
+    one at a time; a text without a line to drop is not shuffled. An empty table gives
+    an empty result.
     """
     spark, docs = docs.sparkSession, docs.drop("n_lines", "n_dropped")
     shared = spark.sparkContext.broadcast(twice_seen(docs, least, filter_bits))
@@ -129,23 +131,28 @@ def drop_repeated_lines(docs: DataFrame, least: int = 20, documents: int = 3, fi
 
     found = durable(docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(occurrences, f"doc_id {id_type}, key binary"))
     holders = found.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("last")).where((F.col("n") >= documents) & F.col("last").isNotNull())
-    drops = lookup(found, durable(holders.select("key", "last")), ["key"]).where(F.col("doc_id").isNull() | (F.col("doc_id") < F.col("last")))
-    drops = drops.groupBy("doc_id").agg(F.collect_set("key").alias("_drop"))
+    holders = durable(holders.select("key", "last"))
+    drops = lookup(found, holders, ["key"]).where(F.col("doc_id").isNull() | (F.col("doc_id") < F.col("last")))
+    mark, gone_ = free_name(docs, "_mark"), free_name(docs, "_drop")
+    drops = durable(drops.groupBy("doc_id").agg(F.collect_set("key").alias(gone_)))
+    discard(found, holders)
+    marks = spark.sparkContext.broadcast(bit_filter(drops.select(F.xxhash64("doc_id").alias("h"))))
+    marked = docs.withColumn(mark, F.xxhash64("doc_id"))
 
     def split(kept: bool):
-        """Documents with (or without) a suspect line; those without need no shuffle."""
+        """Documents with (or without) a line to drop; those without need no shuffle."""
 
         def run(batches):
-            bits = np.frombuffer(shared.value, np.uint8)
+            bits = np.frombuffer(marks.value, np.uint8)
             for batch in batches:
-                yield batch.filter(pa.array([bool(suspects(t and t.encode("utf-8", "surrogatepass"), bits, least)) is kept for (t,) in rows(batch, "text")], pa.bool_()))
+                yield batch.filter(pa.array(holds(bits, batch.column(batch.schema.get_field_index(mark)).to_numpy()) == kept))
 
-        return docs.mapInArrow(run, docs.schema)
+        return marked.mapInArrow(run, marked.schema)
 
     def rewrite(batches):
         for batch in batches:
             texts, n_lines, n_dropped = [], [], []
-            for text, drop in rows(batch, "text", "_drop"):
+            for text, drop in rows(batch, "text", gone_):
                 lines, kept = (text or "").split("\n"), text
                 if drop:
                     gone = set(drop)
@@ -159,6 +166,6 @@ def drop_repeated_lines(docs: DataFrame, least: int = 20, documents: int = 3, fi
             out = [batch.column(batch.schema.get_field_index(c)) if c != "text" else pa.array(texts, pa.string()) for c in names]
             yield pa.RecordBatch.from_arrays([*out, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], [*names, "n_lines", "n_dropped"])
 
-    joined = same(split(True), drops, ["doc_id"], "left").unionByName(split(False).withColumn("_drop", F.lit(None).cast("array<binary>")))
+    joined = same(split(True), drops, ["doc_id"], "left").unionByName(split(False).withColumn(gone_, F.lit(None).cast("array<binary>")))
     out = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     return joined.mapInArrow(rewrite, out)
