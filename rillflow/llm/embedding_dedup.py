@@ -4,7 +4,8 @@ Vectors are scaled to length 1; a table hashes one to the tuple of
 floor((a_i . v + b_i) / WIDTH) over PROJECTIONS Gaussian directions. Vectors of a label
 that share a bucket of any table are compared by their exact cosine. A pair counts in
 the first table that brings it together only, so counts need no list of pairs: what
-leaves a task is a number of links for each vector and a spanning forest.
+leaves a task is a number of links for each vector and a spanning forest. Buckets are
+counted first, and vectors are sent to those of two or more only.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import HOT_KEYS, components, durable, shuffle_width
+from rillflow.llm.common import HOT_KEYS, bit_filter, components, discard, durable, holds, lookup, shuffle_width
 
 #: Unit vectors of cosine 0.98 are 0.2 apart: they share one projection with probability
 #: 0.84, all of a table with 0.29, and at least one table of 20 with 0.999.
@@ -86,7 +87,9 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     Only rows of the same non-null label and vector length are compared. Null, empty and
     zero vectors, vectors with null or non-finite components, and rows without vec_id
     link with nothing. Equal vectors (of a label) are one class that is compared once
-    and counts with all its rows. kept is null-safe: false without vec_id.
+    and counts with all its rows. Rows that share a vec_id count as vectors each, and
+    kept is null-safe: false without vec_id. Other columns are not looked at; an empty
+    table gives an empty result.
     """
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     some = F.exists("embedding", lambda x: x != 0)
@@ -94,31 +97,46 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     rows = vectors.select("vec_id", "label", F.when(usable, F.col("embedding")).alias("embedding"))
     classes = durable(rows.where(F.col("embedding").isNotNull()).groupBy("label", "embedding").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("n")))
 
+    def buckets(batch):
+        """(rows, table, buckets, signatures, vectors) of a batch, by vector length and table."""
+        labels = batch.column(0).to_pylist()
+        column = batch.column(1)
+        offsets, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+        sizes = np.diff(offsets)
+        for size in np.unique(sizes):
+            at = np.flatnonzero(sizes == size)
+            raw = values[offsets[at][:, None] + np.arange(size)].astype(np.float64)
+            sig = signatures(unit_rows(raw / np.abs(raw).max(axis=1, keepdims=True)))
+            for t in range(TABLES):
+                yield at, t, np.array([xxhash.xxh3_64_intdigest(f"{labels[k]} {size} {t} {s}") - 2**63 for k, s in zip(at, sig[:, t].tolist(), strict=True)], np.int64), sig, raw
+
+    def hash_only(batches):
+        for batch in batches:
+            for _, _, key, _, _ in buckets(batch):
+                yield pa.RecordBatch.from_arrays([pa.array(key)], ["bucket"])
+
+    sizes = durable(classes.select("label", "embedding").mapInArrow(hash_only, "bucket long").groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
+    shared = vectors.sparkSession.sparkContext.broadcast(bit_filter(sizes.select(F.col("bucket").alias("h"))))
+    kind = np.float64 if dict(vectors.dtypes)["embedding"] == "array<double>" else np.float32
+
     def hash_rows(batches):
+        bits = np.frombuffer(shared.value, np.uint8)
         for batch in batches:
-            labels, ids, counts = (np.array(batch.column(k).to_pylist()) for k in (0, 2, 3))
-            column = batch.column(1)
-            offsets, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
-            sizes = np.diff(offsets)
-            for size in np.unique(sizes):
-                at = np.flatnonzero(sizes == size)
-                raw = values[offsets[at][:, None] + np.arange(size)].astype(np.float64)
-                sig = signatures(unit_rows(raw / np.abs(raw).max(axis=1, keepdims=True)))
-                stored = pa.array([v.tobytes() for v in raw.astype(np.float64 if values.dtype == np.float64 else np.float32)], pa.binary())
-                sigs = pa.array([s.tobytes() for s in sig], pa.binary())
-                for t in range(TABLES):
-                    key = [xxhash.xxh3_64_intdigest(f"{labels[k]} {size} {t} {s}") - 2**63 for k, s in zip(at, sig[:, t].tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array([t] * len(at), pa.int32()), pa.array(ids[at], pa.int64()), pa.array(counts[at], pa.int64()), stored, sigs], ["bucket", "table", "id", "n", "vector", "sigs"])
+            ids, counts = (np.array(batch.column(k).to_pylist(), np.int64) for k in (2, 3))
+            for at, t, key, sig, raw in buckets(batch):
+                kept = np.flatnonzero(holds(bits, key))
+                if len(kept):
+                    own = at[kept]
+                    yield pa.RecordBatch.from_arrays([pa.array(key[kept]), pa.array([t] * len(own), pa.int32()), pa.array(ids[own]), pa.array(counts[own]), pa.array([raw[k].astype(kind).tobytes() for k in kept], pa.binary()), pa.array([sig[k].tobytes() for k in kept], pa.binary())], ["bucket", "table", "id", "n", "vector", "sigs"])
 
     hashed = classes.select("label", "embedding", "id", "n").mapInArrow(hash_rows, "bucket long, table int, id long, n long, vector binary, sigs binary")
-    sizes = durable(hashed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > BLOCK))
+    sizes = durable(sizes.where(F.col("size") > BLOCK))
     few = sizes.limit(HOT_KEYS + 1).count() <= HOT_KEYS
     parts = F.coalesce(F.ceil(F.col("size") / BLOCK), F.lit(1)).cast("int")
     dealt = hashed.join(F.broadcast(sizes) if few else sizes, "bucket", "left").withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("id"), "parts").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.select("bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "table", "id", "n", "vector", "sigs")
     dealt = dealt.repartition(shuffle_width(vectors.sparkSession), "bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "own")
-    wide = dict(vectors.dtypes)["embedding"] == "array<double>"
 
     def compare(batches):
         held: list[tuple] = []
@@ -127,7 +145,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98) -> DataFrame:
             if len(group) < 2:
                 return [], [], []
             _, lo, hi, own, table, ids, n, vector, sigs = zip(*group, strict=True)
-            unit = np.frombuffer(b"".join(vector), np.float64 if wide else np.float32).astype(np.float64).reshape(len(group), -1)
+            unit = np.frombuffer(b"".join(vector), kind).astype(np.float64).reshape(len(group), -1)
             unit = unit_rows(unit / np.abs(unit).max(axis=1, keepdims=True))
             all_ = {"id": np.array(ids), "n": np.array(n), "unit": unit, "sig": np.frombuffer(b"".join(sigs), np.int64).reshape(len(group), TABLES)}
             if lo[0] == hi[0]:
@@ -165,6 +183,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     whole = components(found.where("v is not null").select("u", "v"))
     known = classes.join(linked, "id", "left").join(whole, F.col("id") == F.col("node"), "left")
     known = durable(known.select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component_id")))
-    out = rows.join(known, ["label", "embedding"], "left")
-    component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+    discard(found, whole, classes, sizes)
+    alone = rows.where(F.col("embedding").isNull()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    out = lookup(rows.where(F.col("embedding").isNotNull()), known, ["label", "embedding"]).select("vec_id", "n_links", "component_id").unionByName(alone)
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
