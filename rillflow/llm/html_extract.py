@@ -15,11 +15,13 @@ import html
 import math
 import random
 import re
-from dataclasses import dataclass, field
+from collections import defaultdict
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rillflow.llm.common import rows
@@ -50,16 +52,29 @@ TAGS = ["p", "li", "td", "h1", "h2", "h3", "blockquote", "pre", "a", "figcaption
 
 
 @dataclass
-class Block:
-    text: str
-    path: list[tuple[str, tuple[str, ...]]]
-    linked: int = 0
+class Open:
+    """An open element with what features need of it and its ancestors, so that a block needs no copy of the path."""
+
+    tag: str
+    tags: tuple[str, ...] = ()  # its own and the two around it
+    kinds: frozenset[str] = frozenset()
+    near: str = "nothing"
+    tops: str = "nothing"
+
+    def inside(self, tag: str, hints: tuple[str, ...]) -> Open:
+        if not hints:
+            return Open(tag, (*self.tags[-2:], tag), self.kinds, self.near, self.tops)
+        return Open(tag, (*self.tags[-2:], tag), self.kinds.union(hints), hints[-1], hints[0] if self.tops == "nothing" else self.tops)
+
+
+ROOT = Open("")
 
 
 @dataclass
-class _Open:
-    tag: str
-    hints: tuple[str, ...] = field(default=())
+class Block:
+    text: str
+    path: Open
+    linked: int = 0
 
 
 @functools.lru_cache(20_000)
@@ -72,38 +87,50 @@ def _hints(tag: str, attributes: str) -> tuple[str, ...]:
 
 
 def blocks(page: str) -> list[Block]:
-    """The leaf blocks of a page in order; broken, unclosed and cut-off markup is read as far as it goes."""
+    """The leaf blocks of a page in order; broken, unclosed and cut-off markup is read as far as it goes.
+
+    Time and memory are linear in the page, however deep it is nested: the places of open
+    elements are kept by tag.
+    """
     out: list[Block] = []
-    stack: list[_Open] = []
+    stack: list[Open] = []
+    places: dict[str, list[int]] = defaultdict(list)
     text: list[str] = []
-    path: list[tuple[str, tuple[str, ...]]] = []
-    linked = 0
+    path, linked, started = ROOT, 0, False
+    endless: set[str] = set()
 
     def end_block():
-        nonlocal linked
+        nonlocal linked, started
         if text:
             joined = " ".join("".join(text).split())
             if joined:
-                out.append(Block(joined, path[:], linked))
+                out.append(Block(joined, path, linked))
             text.clear()
-        linked = 0
+        linked, started = 0, False
 
     def add(raw: str):
-        nonlocal linked, path
+        nonlocal linked, path, started
         if raw:
             if "&" in raw:
                 raw = html.unescape(raw)
             if not raw.isspace():
-                if not any(not t.isspace() for t in text):
-                    path = [(o.tag, o.hints) for o in stack]
-                if any(o.tag == "a" for o in stack):
+                if not started:
+                    path, started = stack[-1] if stack else ROOT, True
+                if places["a"]:
                     linked += len(raw.strip())
             text.append(raw)
 
+    def last(tags) -> int:
+        return max((places[t][-1] for t in tags if places[t]), default=-1)
+
     def close(to: int):
-        if any(o.tag in BLOCKS for o in stack[to:]):
+        ends = False
+        while len(stack) > to:
+            tag = stack.pop().tag
+            places[tag].pop()
+            ends = ends or tag in BLOCKS
+        if ends:
             end_block()
-        del stack[to:]
 
     at, n = 0, len(page)
     while at < n:
@@ -116,33 +143,30 @@ def blocks(page: str) -> list[Block]:
         if not tag:
             continue
         if m[1]:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == tag), -1)
-            if depth >= 0:
-                close(depth)
+            if places[tag]:
+                close(places[tag][-1])
             elif tag in BLOCKS:
                 end_block()
             continue
         if tag in SKIPPED and not m[3].endswith("/>") and tag != "head":
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            end = None if tag in endless else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            if not end:
+                endless.add(tag)
             at = end.end() if end else (n if tag in RAW else at)
             continue
         if tag == "br":
             add(" ")
             continue
         if tag in BLOCKS:
-            p = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == "p"), -1)
-            if p >= 0 and tag not in ("button", "label", "select", "option", "textarea"):
-                close(p)
+            if places["p"] and tag not in ("button", "label", "select", "option", "textarea"):
+                close(places["p"][-1])
             same, within = CLOSES.get(tag, (set(), set()))
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i].tag in within:
-                    break
-                if stack[i].tag in same:
-                    close(i)
-                    break
+            if (found := last(same)) > last(within):
+                close(found)
             end_block()
         if tag not in VOID and not m[3].endswith("/>"):
-            stack.append(_Open(tag, _hints(tag, m[3])))
+            places[tag].append(len(stack))
+            stack.append((stack[-1] if stack else ROOT).inside(tag, _hints(tag, m[3])))
     end_block()
     return out
 
@@ -155,13 +179,11 @@ def features(page: list[Block]) -> list[list[int]]:
     """The indices of the features that hold for each block."""
     out = []
     for i, b in enumerate(page):
-        hints = [h for _, hs in b.path for h in hs]
         words = b.text.count(" ") + 1
         on = {"bias", f"words {min(5, int(math.log2(words)))}", f"links {min(3, 4 * b.linked // max(1, len(b.text)))}"}
-        on |= {f"in {h}" for h in hints} or {"in nothing"}
-        on.add(f"near {hints[-1]}" if hints else "near nothing")
-        on.add(f"tops {hints[0]}" if hints else "tops nothing")
-        on |= {f"tag {t}" for t, _ in b.path[-3:] if t in TAGS}
+        on |= {f"in {h}" for h in b.path.kinds} or {"in nothing"}
+        on |= {f"near {b.path.near}", f"tops {b.path.tops}"}
+        on |= {f"tag {t}" for t in b.path.tags if t in TAGS}
         on |= {n for n, holds in (("first", i == 0), ("last", i == len(page) - 1), ("stop", b.text[-1] in ".!?:;\"'”»…"), ("comma", b.text.count(",") * 25 >= words), ("rights", "©" in b.text or "(c)" in b.text[:40].lower()), ("short run", words < 4)) if holds}
         out.append([INDEX[n] for n in on])
     return out
@@ -322,18 +344,20 @@ def main_text(page: str | None, field_: Field) -> list[str]:
 def extract(pages: DataFrame, field_: Field | None = None, html_column: str = "html") -> DataFrame:
     """``pages`` without the html, with text (the main blocks, joined by newlines), n_chars and n_blocks.
 
-    Null or empty html gives an empty text. One narrow pass: each page is read alone and
-    whole. Input columns of the new names are replaced; others are passed on.
+    Null or empty html gives an empty text, bytes that are no UTF-8 are read as U+FFFD.
+    One narrow pass: each page is read alone and whole, repeated rows too, in memory in
+    proportion to the page. An empty table gives an empty result. Input columns of the new
+    names are replaced; others are passed on.
     """
     kept = [c for c in pages.columns if c not in (html_column, "text", "n_chars", "n_blocks")]
     model = field_ or train()
 
     def run(batches):
         for batch in batches:
-            found = [main_text(page, model) for (page,) in rows(batch, html_column)]
+            found = [main_text(page and page.decode("utf-8", "replace"), model) for (page,) in rows(batch, html_column)]
             texts = ["\n".join(f) for f in found]
             out = [batch.column(batch.schema.get_field_index(c)) for c in kept]
             yield pa.RecordBatch.from_arrays([*out, pa.array([t.encode("utf-8", "replace").decode() for t in texts], pa.string()), pa.array(map(len, texts), pa.int64()), pa.array(map(len, found), pa.int64())], [*kept, "text", "n_chars", "n_blocks"])
 
     more = [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("n_blocks", T.LongType())]
-    return pages.select(*kept, html_column).mapInArrow(run, T.StructType([*(pages.schema[c] for c in kept), *more]))
+    return pages.select(*kept, F.col(html_column).cast("binary").alias(html_column)).mapInArrow(run, T.StructType([*(pages.schema[c] for c in kept), *more]))
