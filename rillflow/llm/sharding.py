@@ -78,7 +78,9 @@ def shard_plan(docs: DataFrame, tree: Tree | None = None) -> DataFrame:
     Slots number the rows of a shard without gaps in the order of a hash of the row, then
     of doc_id, text_crc32 and size. Equal rows are counted before they are shuffled and
     dealt out after; the others are ranked in BUCKETS buckets of each shard, so that no
-    shard is held by one task. Null text has size 1 and checksum 0.
+    shard is held by one task. Null text has size 1 and checksum 0. Texts are only
+    measured, whole; rows with null ids share a shard; other columns are not looked at;
+    an empty table gives an empty result.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     slim = place(docs.select("doc_id", (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")), tree)

@@ -1,17 +1,21 @@
 """Each operator against a brute-force version on a small, awkward table."""
 
 import hashlib
+import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from rillflow.llm import bpe, common, embedding_dedup, html_extract, langid, line_dedup, mixing, ngram_join, passages, quality, sharding
+from rillflow.llm import bpe, common, embedding_dedup, html_extract, langid, line_dedup, mixing, ngram_join, passages, quality, queries, sharding
 from rillflow.llm.common import components, lookup
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -108,6 +112,8 @@ def test_line_dedup(docs, texts, empty, spark):
     line = "a line of more than twenty letters"
     odd = spark.createDataFrame([(None, line)] * 2 + [(5, line)] * 2, "doc_id long, text string")
     assert sorted((str(r["doc_id"]), r["text"]) for r in line_dedup.drop_repeated_lines(odd).collect()) == [("5", line), ("5", line), ("None", ""), ("None", "")]
+    clash = docs.withColumns({"_drop": F.lit(1), "_mark": F.lit("m"), "n_lines": F.lit("old")})
+    assert {(r["doc_id"], r["_drop"], r["_mark"], r["n_lines"]) for r in line_dedup.drop_repeated_lines(clash).collect()} == {(k, 1, "m", r["n_lines"]) for k, r in got.items()}
     saturated = line_dedup.drop_repeated_lines(docs, filter_bits=1 << 18)
     assert {k: r["text"] for k, r in by_id(saturated).items()} == {k: r["text"] for k, r in got.items()}
 
@@ -148,6 +154,41 @@ def test_similar_sets_post_a_common_hash():
         assert met > 500
 
 
+def test_meetings_pair_every_two_classes(monkeypatch):
+    monkeypatch.setattr(ngram_join, "PAIRED", 5)
+    r = np.random.default_rng(2)
+    rows = sorted({(k, int(u)) for k in range(40) for u in r.integers(0, 100, int(r.integers(1, 12)))})
+    rows = sorted(rows + rows[::7])
+    for step in (1, 3, 1000):
+        batches = [pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows[i : i + step]], pa.int64()) for k in (0, 1)], ["key", "u"]) for i in range(0, len(rows), step)]
+        got = {tuple(x.values()) for b in ngram_join._meetings(batches) for x in b.to_pylist()}
+        want = set()
+        for key in range(40):
+            us = sorted({u for k, u in rows if k == key})
+            want |= {(us[0], u, True) for u in us[1:]} if len(us) > 5 else {(a, b, False) for i, a in enumerate(us) for b in us[i + 1 :]}
+        assert got == want
+
+
+def test_sketches_never_rule_out_a_link():
+    r = np.random.default_rng(8)
+    for size in (3, 50, 3000, 90_000):
+        a = np.unique(r.integers(0, 2**64, size, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[int(0.09 * len(a)) :], r.integers(0, 2**64, size // 100, dtype=np.uint64)]))
+        rows = [np.frombuffer(ngram_join.sketch(x), np.uint8)[None] for x in (a, b)]
+        assert ngram_join.may_be_similar(*rows, np.array([len(a) + len(b)]), 90)[0] or 100 * len(np.intersect1d(a, b)) < 90 * len(np.union1d(a, b))
+    other = np.unique(r.integers(0, 2**64, 300, dtype=np.uint64))
+    assert not ngram_join.may_be_similar(np.frombuffer(ngram_join.sketch(other), np.uint8)[None], np.frombuffer(ngram_join.sketch(a[:300]), np.uint8)[None], np.array([600]), 80)[0]
+
+
+@pytest.mark.parametrize("paired", [64, 1])
+def test_ngram_join_of_odd_tables(spark, paired, monkeypatch):
+    monkeypatch.setattr(ngram_join, "PAIRED", paired)
+    a, b = " ".join(f"w{i}" for i in range(80)), " ".join(f"w{i}" for i in range(79))
+    rows = [(5, a, 1), (5, a, 1), (None, b, 2), (9, b, 3), (3, "x y z w", 4), (None, None, 5)]
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, class int")).collect())
+    assert got == {(5, 78, 5): 2, (None, 77, None): 1, (9, 77, 5): 1, (3, 2, 3): 1, (None, 0, None): 1}
+
+
 def test_join_sets_finds_all_components():
     r = random.Random(9)
     for percent in (50, 80, 90):
@@ -189,6 +230,18 @@ def test_mixing(docs, texts, empty, spark):
     assert all(abs(taken[s] - target[s]) <= largest[s] for s in names)
     again = mixing.mixing_plan(docs.repartition(1)).collect()
     assert sorted((r["doc_id"], len(r["positions"])) for r in again) == sorted((r["doc_id"], len(r["positions"])) for r in got)
+    # a position is where the integral of the source's density, taken in small steps, reaches the words before the copy
+    ramps = {s: mixing.RAMPS[i % 3] for i, s in enumerate(names)}
+    steps, at = np.linspace(0, 1, 20_001), defaultdict(list)
+    for r in got:
+        at[r["source"]] += [(p, r["size"]) for p in r["positions"]]
+    for s, found in at.items():
+        density = target[s] * (1 + ramps[s] * (2 * steps - 1))
+        reached = np.concatenate([[0], np.cumsum((density[1:] + density[:-1]) / 2 * np.diff(steps))])
+        begin = 0
+        for p, size in sorted(found):
+            assert abs(np.interp(p, steps, reached) - begin) < 1e-3 * max(1, target[s])
+            begin += size
     stream = [r["doc_id"] for r in mixing.mixture(docs).select("doc_id").collect()]
     assert Counter(stream) == Counter({r["doc_id"]: len(r["positions"]) for r in got if r["positions"]})
     assert mixing.mixture(docs).columns == docs.columns
@@ -197,6 +250,22 @@ def test_mixing(docs, texts, empty, spark):
     assert [(r["target"], r["positions"]) for r in mixing.mixing_plan(blank).collect()] == [(0.0, [])] * 2
 
 
+def test_mixing_query_follows_the_ramps(docs, tmp_path, monkeypatch):
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda: {(r["doc_id"], r["first_position"]) for r in queries.op3_mixing(docs.sparkSession, str(tmp_path)).collect()}
+    before = run()
+    monkeypatch.setattr(mixing, "RAMPS", (0.5, -0.3, 0.1))
+    assert before != run()
+
+
+def test_mixing_of_odd_tables(spark):
+    rows = [(1, "a b", "x", 0, "p"), (1, "a b", "x", 0, "p"), (None, "c d e", "x", 0, "q"), (None, "f", None, 0, "r")]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, source string, target int, positions string")
+    got = mixing.mixing_plan(odd).collect()
+    assert len(got) == 4 and sum(r["size"] for r in got) == 8
+    assert mixing.mixture(odd).columns == odd.columns
+
+
 def test_passages(docs, texts, empty, monkeypatch):
     raw = [(t or "").encode() for t in texts]
     counts = Counter(d[i : i + 400] for d in raw for i in range(len(d) - 399))
@@ -209,9 +278,8 @@ def test_passages(docs, texts, empty, monkeypatch):
         return bytes(b for b, g in zip(d, gone, strict=True) if not g), int(gone.sum()), len(passages.runs(gone))
 
     want = {i * 3 + 1: expected(d) for i, d in enumerate(raw)}
-    for crowd, known in ((passages.CROWD, passages.KNOWN), (1, passages.KNOWN), (1, 3)):
+    for crowd in (passages.CROWD, 1):
         monkeypatch.setattr(passages, "CROWD", crowd)
-        monkeypatch.setattr(passages, "KNOWN", known)
         got = by_id(passages.remove_passages(docs.select("doc_id", "text")))
         assert {k: (bytes(r["kept"]), r["n_removed"], r["n_spans"]) for k, r in got.items()} == want
         assert all(got[i * 3 + 1]["n_bytes"] == len(d) for i, d in enumerate(raw))
@@ -219,6 +287,21 @@ def test_passages(docs, texts, empty, monkeypatch):
     assert passages.remove_passages(empty.select("doc_id", "text")).count() == 0
 
 
+def test_passages_of_odd_tables(spark):
+    r = random.Random(3)
+    a, b, c = (" ".join(r.choice(["lorem", "ipsum", "dolor", "é"]) for _ in range(n)) for n in (150, 200, 90))
+    odd = spark.createDataFrame([(None, a, 1), (None, a, 2), (7, b, 3), (7, b, 4), (8, c, 5), (None, None, 6)], "doc_id long, text string, _ref int").withColumn("n_spans", F.lit("x"))
+    got = {r["_ref"]: (r["n_bytes"] - r["n_removed"], r["n_spans"]) for r in passages.remove_passages(odd).collect()}
+    assert got == {1: (0, 1), 2: (0, 1), 3: (0, 1), 4: (0, 1), 5: (len(c.encode()), 0), 6: (0, 0)}
+
+
+def test_slabs_own_every_window_once():
+    data = np.random.default_rng(0).integers(97, 99, 3000).astype(np.uint8)
+    for slab in (1, 57, 1000, 1 << 18):
+        _, first, last = passages.anchors(data, slab=slab)
+        assert first[0] == 0 and last[-1] == len(data) - passages.LENGTH and (first[1:] == last[:-1] + 1).all()
+
+
 def test_longest_previous_factors():
     r = np.random.default_rng(6)
     for _ in range(60):
@@ -310,8 +393,30 @@ def test_quality_estimate():
         patterns[p] += 1
         truth.setdefault(p, Counter())[junk] += 1
     table = quality.estimate(patterns.items(), 6)
-    wrong = sum(truth[p][s > 0] for p in patterns for s in [table[0][0] + sum(t[v + 1] for t, v in zip(table[1:], p, strict=True))])
+    wrong = sum(truth[p][quality.odds(table, p) > 0] for p in patterns)
     assert wrong < 0.05 * 4000
+    # the same from all documents one by one
+    votes = np.array([p for p in patterns.elements()])
+    good = np.where((votes == -1).any(1), 0.1, 0.97)
+    for _ in range(quality.ROUNDS):
+        total = np.full(len(votes), np.log((good.sum() + 0.9) / ((1 - good).sum() + 0.1)))
+        for k in range(6):
+            rate = lambda w, hit, v=votes[:, k]: ((w * (v == -1)).sum() + hit) / ((w * (v != 0)).sum() + 1)
+            a, b = rate(good, 0.1), rate(1 - good, 0.9)
+            total += np.where(votes[:, k] == -1, np.log(a / b), np.where(votes[:, k] == 1, np.log((1 - a) / (1 - b)), 0))
+        good = 1 / (1 + np.exp(-total))
+    assert [quality.odds(table, p) >= 0 for p in votes.tolist()] == (good >= 0.5).tolist()
+
+
+def test_quality_verdict_is_the_estimate(spark):
+    r = random.Random(6)
+    say = lambda n, end="": " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7))) + end for _ in range(n)) + "."
+    rows = [(i, say(60), 1) for i in range(80)] + [(100 + i, say(60, "&&&"), 2) for i in range(12)] + [(None, say(40), 3), (7, None, 4), (7, None, 4), (8, "", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _words int").withColumns({"n_words": F.lit("w"), "kept": F.lit("k"), "_lines": F.lit(1)})
+    found = quality.verdicts(docs).collect()
+    assert len(found) == len(rows) and Counter(f["kept"] for f in found if not f["base_failed"]) == {True: 81, False: 12}
+    good = quality.good_documents(docs)
+    assert good.columns == docs.columns and Counter((x["_words"], x["n_words"], x["kept"], x["_lines"]) for x in good.collect()) == {(1, "w", "k", 1): 80, (3, "w", "k", 1): 1}
 
 
 def test_sharding(docs, texts, empty, spark):
@@ -332,6 +437,26 @@ def test_sharding(docs, texts, empty, spark):
     got = {r["shard"]: r["count"] for r in sharding.place(spark.range(40_000).withColumnRenamed("id", "doc_id"), heavy).groupBy("shard").count().collect()}
     assert abs(got[0] - 15_000) < 600 and abs(got[1] - 5000) < 400 and abs(got[2] - 20_000) < 600
     assert sharding.shard_plan(empty).count() == 0
+    null = spark.createDataFrame([(None, "a"), (None, "a"), (None, None)], "doc_id long, text string")
+    assert sorted(r["slot"] for r in sharding.shard_plan(null).collect()) == [0, 1, 2]
+
+
+def test_sharding_places_by_plain_draws(spark):
+    keys = list(range(0, 3000, 7)) + [None]
+    df = spark.createDataFrame([(k,) for k in keys], "doc_id long")
+    draws = {(r["doc_id"], r["level"], r["child"]): (r["h"] % 2**64 >> 12) for r in df.crossJoin(spark.range(3).withColumnRenamed("id", "level")).crossJoin(spark.range(10).withColumnRenamed("id", "child")).select("doc_id", "level", "child", F.xxhash64("doc_id", F.col("level").cast("int"), F.col("child").cast("int")).alias("h")).collect()}
+
+    def walk(key, node, level=0):
+        if not isinstance(node, dict):
+            return node
+        weight = lambda n: sum(map(weight, n.values())) if isinstance(n, dict) else n
+        draw = lambda c: -math.log((draws[key, level, c] + 0.5) / 2**52) / weight(node[c])
+        child = min(node, key=draw) if len(node) > 1 else next(iter(node))
+        return child if not isinstance(node[child], dict) else walk(key, node[child], level + 1)
+
+    for tree in (sharding.even_tree(), {0: {0: {0: 3.0, 1: 1.0}}, 1: {1: {2: 4.0}, 2: {3: 1.0, 4: 2.0}}}):
+        got = sharding.place(df, tree).collect()
+        assert [(r["shard"], r["grown_shard"]) for r in got] == [(walk(r["doc_id"], tree), walk(r["doc_id"], sharding.grown(tree))) for r in got]
 
 
 @pytest.mark.parametrize("block", [1024, 8])
@@ -355,6 +480,33 @@ def test_embeddings(spark, block, monkeypatch):
     assert all((got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (0, i, True) for i, _, _ in odd)
 
 
+def test_embeddings_of_odd_tables(spark):
+    kind = "vec_id long, embedding array<float>, label int"
+    assert embedding_dedup.near_duplicates(spark.createDataFrame([], kind)).count() == 0
+    rows = [(1, [1.0, 2.0], 0), (1, [1.0, 2.0], 0), (None, [1.0, 2.0], 0), (2, [2.0, 4.0], 0), (3, [1.0, -2.0], 0)]
+    got = Counter(tuple(r) for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, kind)).collect())
+    assert got == {(1, 2, 1, True): 2, (None, 0, None, False): 1, (2, 2, 1, False): 1, (3, 0, 3, True): 1}
+
+
+def test_embeddings_recall_at_the_threshold():
+    r = np.random.default_rng(7)
+    a = embedding_dedup.unit_rows(r.normal(size=(2000, 64)))
+    off = r.normal(size=a.shape)
+    off = embedding_dedup.unit_rows(off - (off * a).sum(1, keepdims=True) * a)
+    b = 0.98 * a + np.sqrt(1 - 0.98**2) * off
+    met = (embedding_dedup.signatures(a) == embedding_dedup.signatures(b)).any(axis=1)
+    assert met.mean() > 0.99
+
+
+def test_deep_pages_take_linear_time():
+    model = html_extract.train()
+    for page in ("<div>x" * 30_000, "<svg>x" * 30_000, "<p><b>x" * 10_000):
+        start = time.time()
+        html_extract.main_text(page, model)
+        assert time.time() - start < 20
+    assert [b.text for b in html_extract.blocks("<ul><li>a<ul><li>b<li>c</ul><li>d</ul>")] == ["a", "b", "c", "d"]
+
+
 def test_html_extract(spark):
     model = html_extract.train()
     wrong = total = 0
@@ -370,6 +522,7 @@ def test_html_extract(spark):
     rows = [(1, "u", page, 7), (2, "v", None, 8), (3, None, "", 9), (4, "w", "<p", 1), (4, "w", "<p", 1)]
     got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int")).collect()
     assert [(r["page_id"], r["url"], r["text"]) for r in got[:1]] == [(1, "u", "T&x\nOne two, three four <b>.\nSecond parts & only.\nThird one here.")]
+    assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
     assert [(r["page_id"], r["text"], r["n_chars"]) for r in got[1:]] == [(2, "", 0), (3, "", 0), (4, "", 0), (4, "", 0)]
 
 
@@ -399,3 +552,28 @@ def test_bpe_query(docs, texts, empty, tokenizer):
         r = got[i * 3 + 1]
         assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == want
     assert bpe.digests(empty, vocabulary).count() == 0
+
+
+def test_bpe_of_odd_rows(spark, tokenizer):
+    vocabulary = bpe.read_vocabulary(public_tokenizers.path("word_bpe_49k.json"))
+    long = "x" * 100_000 + " " + "word and " * 20_000
+    odd = spark.createDataFrame([(1, long, 0), (None, "a b", 1), (1, long, 2)], "doc_id long, text string, ids int")
+    odd = odd.unionByName(spark.sql("select 5L as doc_id, cast(x'61ff62' as string) as text, 3 as ids"))
+    ids = tokenizer.encode(long, add_special_tokens=False).ids
+    want = [(1, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())] * 2
+    got = sorted((r["doc_id"] or 0, r["n_tokens"], r["ids_sha256"]) for r in bpe.digests(odd, vocabulary).collect())
+    assert got[1:3] == want and got[0][:2] == (0, 2) and got[3][0] == 5
+    bad = tokenizer.encode("a\ufffdb", add_special_tokens=False).ids
+    assert got[3][1:] == (len(bad), hashlib.sha256(" ".join(map(str, bad)).encode()).hexdigest())
+    assert [r["ids"] for r in bpe.encode(odd.where("doc_id = 5"), vocabulary).collect()] == [bad]
+    encoder = bpe.Encoder(vocabulary)
+    encoder.encode("y" * 200_000)
+    assert max(map(len, [*encoder, *encoder.pieces]), default=0) <= bpe.LONG
+
+
+def test_langid_of_odd_rows(spark):
+    rows = [(1, "alpha beta " * 30_000, "aa", 0), (1, "alpha", "aa", 0), (1, "alpha", "aa", 0), (None, "ый " * 20, "cc", 1)]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, lang string, score int").withColumn("lang_pred", F.lit("old"))
+    assert sorted(r["lang_pred"] for r in langid.identify(odd).collect()) == ["aa", "aa", "aa", "cc"]
+    model = langid.train(odd)
+    assert [(r["lang_pred"], r["lang"]) for r in langid.predict(odd.where("doc_id is null"), model).collect()] == [("cc", "cc")]
