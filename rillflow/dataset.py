@@ -7,6 +7,7 @@ The element of a dataset is its row, or one column of it (``value``).
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
@@ -48,8 +49,10 @@ class Dataset:
         return Dataset(df, "ord")
 
     @staticmethod
-    def generate(spark: SparkSession, supplier: Expr, n: int) -> Dataset:
-        """``n`` values of a supplier; it may be a nondeterministic Column such as F.rand()."""
+    def generate(spark: SparkSession, supplier: Expr | Callable[[], Any], n: int, schema: str | None = None) -> Dataset:
+        """``n`` values of a supplier: a Column (F.rand(), say), or with ``schema`` a Python function, called in order on the driver."""
+        if schema:
+            return Dataset.from_rows(spark, [supplier() for _ in range(n)], schema)
         df = spark.range(n).withColumnRenamed("id", "ord")
         return Dataset(df.withColumn("value", exprs.column(df, supplier)), "ord")
 
@@ -177,14 +180,40 @@ class Dataset:
     def debounce(self, time: Expr, seconds: float, keys: list[str] | None = None) -> Dataset:
         return self._with(windows.throttle(self.df, keys or [], self.order_by, exprs.column(self.df, time), seconds))
 
-    def scan(self, how: str, identity: Any, value: Expr | None = None) -> Dataset:
-        """The identity (index -1), then the running sum, min, max or count joined with it."""
+    def scan(self, how: str | Callable[[Any, Any], Any], identity: Any, value: Expr | None = None, kind: str = "bigint") -> Dataset:
+        """The identity (index -1), then the running sum, min, max or count joined with it.
+
+        Any other Python function f(total, x) -> ``kind`` is a sequential fold: one task runs it, batch by batch.
+        """
+        if callable(how):
+            return self._scan_with(how, identity, value, kind)
         join = {"sum": lambda a: a + F.lit(identity), "count": lambda a: a + F.lit(identity), "min": lambda a: F.least(a, F.lit(identity)), "max": lambda a: F.greatest(a, F.lit(identity))}[how]
         x = self._x() if value is None else exprs.column(self.df, value)
         d = order.running(self.with_position("index").select("index", x.alias("_x")), ["index"], F.col("_x"), how, "value").select("index", join(F.col("value")).alias("value"))
         first = self.df.sparkSession.range(1).select(F.lit(-1).cast("long").alias("index"), F.lit(identity).cast(d.schema["value"].dataType).alias("value"))
         return Dataset(first.unionByName(d), "index")
 
+    def _scan_with(self, f: Callable[[Any, Any], Any], identity: Any, value: Expr | None, kind: str) -> Dataset:
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        x = self._x() if value is None else exprs.column(self.df, value)
+        arrow = to_arrow_type(T._parse_datatype_string(kind))
+
+        def run(batches):
+            total, at = identity, -1
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([total], arrow)], ["index", "value"])
+            for batch in batches:
+                totals = []
+                for y in batch.column(0).to_pylist():
+                    total = f(total, y)
+                    totals.append(total)
+                yield pa.RecordBatch.from_arrays([pa.array(range(at + 1, at + 1 + len(totals)), pa.int64()), pa.array(totals, arrow)], ["index", "value"])
+                at += len(totals)
+
+        one = self.df.select(*self._order(), x.alias("_x")).repartition(1).sortWithinPartitions(*self._order()).select("_x")
+        return Dataset(one.mapInArrow(run, f"index long, value {kind}"), "index")
+
     def scan_by(self, keys: list[str], identity: Column, f: Callable[[Column, Column], Column], value: Expr | None = None) -> DataFrame:
         """A general running fold for each key: (keys, index, value), identity first. A key's values meet in one row."""
         x = self._x() if value is None else exprs.column(self.df, value)
@@ -202,6 +231,12 @@ class Dataset:
         d = self.df.withColumns(named).groupBy(*named).agg(F.min_by(F.struct(*self.df.columns), F.struct(*self.order_by)).alias("_row"))
         return self._with(d.select("_row.*"))
 
+    def to_async(self, column: str, f: Callable, kind: str, **options) -> Dataset:
+        """The rows with a result struct of ``await f(value)``: see streaming.aio.map_async."""
+        from rillflow.streaming import aio
+
+        return self._with(aio.map_async(self.df, column, f, kind, **options))
+
     def parallel(self, processes: int | None = None) -> Dataset:
         """Other partitions, same result."""
         return self._with(self.df.repartition(processes) if processes else self.df)
@@ -255,6 +290,26 @@ class Dataset:
             total = f(total, x)
         return total
 
+    def combine(self, f: Callable[[Any, Any], Any], value: Expr | None = None) -> Option:
+        """An associative reduce: each range of the order is folded in its task, the driver folds one value a range."""
+        import pyarrow as pa
+
+        x = self._x() if value is None else exprs.column(self.df, value)
+        n = int(self.df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        ranged = self.df.select(*self._order(), x.alias("_x")).repartitionByRange(n, *self._order()).sortWithinPartitions(*self._order()).select("_x")
+
+        def run(batches):
+            total, found, kind = None, False, None
+            for batch in batches:
+                kind = batch.schema.field(0).type
+                for y in batch.column(0).to_pylist():
+                    total, found = (f(total, y), True) if found else (y, True)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([total], kind)], ["_x"])
+
+        parts = [r[0] for r in ranged.mapInArrow(run, ranged.schema).collect()]  # in order of ranges
+        return Option(functools.reduce(f, parts)) if parts else Option.empty()
+
     def fold_by(self, keys: list[str], identity: Column, f: Callable[[Column, Column], Column], value: Expr | None = None) -> DataFrame:
         """(keys, value): an ordered left fold for each key."""
         x = self._x() if value is None else exprs.column(self.df, value)

@@ -32,6 +32,18 @@ class Result:
         """From an expression that is null on error (try_cast, try_divide, ...) of a value; a null value succeeds."""
         return Result(F.when(tried.isNull() & of.isNotNull(), Result.failure(message, kind, type_).c).otherwise(Result.success(tried.cast(kind)).c))
 
+    @staticmethod
+    def of(f: Callable, of: Column, kind: str) -> Result:
+        """What a Python function returns for each value, or the error that it raises."""
+
+        def guarded(x):
+            try:
+                return True, f(x), None
+            except Exception as e:
+                return False, None, (type(e).__name__, str(e))
+
+        return Result(F.udf(guarded, f"struct<is_success: boolean, value: {kind}, error: {ERROR}>")(of))
+
     def is_success(self) -> Column:
         return self.c["is_success"]
 

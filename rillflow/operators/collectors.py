@@ -1,13 +1,16 @@
 """Collectors: mergeable aggregates that compose.
 
 A collector makes an aggregate Column for a frame; grouping_by makes one row per group,
-and its downstream may be any collector, also nested in mapping.
+and its downstream may be any collector or another grouping, also nested in mapping. An
+inner grouping becomes an array of (key, value) structs in order of key.
 """
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +31,7 @@ class Grouping:
     keys: dict[str, Expr]
     downstream: dict[str, Collector]
     complete: tuple = ()
+    mapper: Expr | None = None
 
 
 def to_list() -> Collector:
@@ -65,7 +69,9 @@ def summarizing(mapper: Expr | None = None) -> Collector:
     return Collector(build)
 
 
-def mapping(mapper: Expr, downstream: Collector) -> Collector:
+def mapping(mapper: Expr, downstream: Collector | Grouping) -> Collector | Grouping:
+    if isinstance(downstream, Grouping):
+        return replace(downstream, mapper=downstream.mapper or mapper)
     return Collector(lambda df, order, x: downstream.build(df, order, column(df, mapper)))
 
 
@@ -99,6 +105,9 @@ def run(df: DataFrame, order: list[Column], x: Column, c: Collector | Grouping)
     """The frame of a collector (one row, column value) or grouping (a row per group)."""
     if isinstance(c, Collector):
         return df.agg(c.build(df, order, x).alias("value"))
+    x = x if c.mapper is None else column(df, c.mapper)
+    if any(isinstance(d, Grouping) for d in c.downstream.values()):
+        return _nested(df, order, x, c)
     if not c.complete:
         keys = {k: column(df, e) for k, e in c.keys.items()}
         return df.groupBy(*(e.alias(k) for k, e in keys.items())).agg(*(d.build(df, order, x).alias(n) for n, d in c.downstream.items()))
@@ -106,3 +115,21 @@ def run(df: DataFrame, order: list[Column], x: Column, c: Collector | Grouping)
     held = truth(df, predicate)
     parts = [df.where(held if want else ~held).agg(*(d.build(df, order, x).alias(n) for n, d in c.downstream.items())).select(F.lit(want).alias("key"), *c.downstream) for want in c.complete]
     return parts[0].unionByName(parts[1])
+
+
+def _nested(df: DataFrame, order: list[Column], x: Column, c: Grouping) -> DataFrame:
+    """A grouping with inner groupings: each is one aggregation by both keys, gathered by the outer ones."""
+    if c.complete:
+        raise ValueError("partitioning_by() takes collectors only")
+    plain = {n: d for n, d in c.downstream.items() if isinstance(d, Collector)}
+    out = run(df, order, x, Grouping(c.keys, plain or {"_n": counting()}))
+    for name, inner in c.downstream.items():
+        if isinstance(inner, Collector):
+            continue
+        outer = {f"_outer{len(c.keys)}_{i}": e for i, e in enumerate(c.keys.values())}
+        flat = run(df, order, x, Grouping(outer | {f"_inner_{k}": e for k, e in inner.keys.items()}, inner.downstream, mapper=inner.mapper))
+        entry = F.struct(*(F.col(f"_inner_{k}").alias(k) for k in inner.keys), *inner.downstream)
+        flat = flat.groupBy(*outer).agg(F.sort_array(F.collect_list(entry)).alias(name))
+        on = functools.reduce(operator.and_, (out[k].eqNullSafe(flat[o]) for k, o in zip(c.keys, outer, strict=True)))
+        out = out.join(flat, on).drop(*outer)
+    return out.select(*c.keys, *c.downstream)

@@ -18,7 +18,10 @@ def durable(df: DataFrame) -> DataFrame:
     """``df`` computed once into the session's checkpoint folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rillflow-"))
+        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not where and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="rillflow-"))
     return df.checkpoint(eager=True)
 
 

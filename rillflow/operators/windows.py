@@ -27,10 +27,11 @@ def window(df: DataFrame, order: list, size: int, step: int, value: Column) -> D
     return d.groupBy("window").agg(ordered_list(F.col("_x"), F.col("_pos")).alias("items")).where(F.size("items") == size)
 
 
-def anchored(df: DataFrame, keys: list[str], order: list[str], time: Column, seconds: float) -> DataFrame:
+def anchored(df: DataFrame, keys: list[str], order: list[str], time: Column, seconds: float, opens: bool = False) -> DataFrame:
     """``df`` with window_id and window_start: a window opens at its first row's time and takes rows until time >= start + seconds.
 
-    Late rows join the open window. The recurrence is sequential, so it runs side by
+    Late rows and rows without a time join the open window; one that opens with such rows
+    starts at the first time that follows. The recurrence is sequential, so it runs side by
     side for the keys only; a key's rows are read in order, in batches.
     """
     import pyarrow as pa
@@ -43,26 +44,30 @@ def anchored(df: DataFrame, keys: list[str], order: list[str], time: Column, sec
     def run(batches):
         key, number, start = None, -1, None
         for b in batches:
-            ids, starts = [], []
+            ids, starts, opened = [], [], []
             groups = zip(*(b.column(i).to_pylist() for i in at), strict=True) if at else (() for _ in range(b.num_rows))
             for k, t in zip(groups, b.column(last).to_pylist(), strict=True):
                 if number < 0 or k != key:
                     key, number, start = k, 0, t
-                elif t >= start + seconds:
+                    opened.append(True)
+                    ids.append(number)
+                    starts.append(start)
+                    continue
+                start = t if start is None else start
+                opened.append(t is not None and t >= start + seconds)
+                if opened[-1]:
                     number, start = number + 1, t
                 ids.append(number)
                 starts.append(start)
-            yield pa.RecordBatch.from_arrays([*b.columns[:last], pa.array(ids, pa.int64()), pa.array(starts, pa.float64())], [*columns, "window_id", "window_start"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:last], pa.array(ids, pa.int64()), pa.array(starts, pa.float64()), pa.array(opened, pa.bool_())], [*columns, "window_id", "window_start", "_opens"])
 
-    return named.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("window_id", T.LongType()), T.StructField("window_start", T.DoubleType())]))
+    d = named.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("window_id", T.LongType()), T.StructField("window_start", T.DoubleType()), T.StructField("_opens", T.BooleanType())]))
+    return d if opens else d.drop("_opens")
 
 
 def throttle(df: DataFrame, keys: list[str], order: list[str], time: Column, seconds: float) -> DataFrame:
     """The rows that open an anchored window: the first, then each at least ``seconds`` after the last kept."""
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy(*keys, "window_id").orderBy(*order)
-    return anchored(df, keys, order, time, seconds).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "window_id", "window_start")
+    return anchored(df, keys, order, time, seconds, opens=True).where("_opens").drop("_opens", "window_id", "window_start")
 
 
 def prefix(df: DataFrame, order: list[str], holds: Column, take: bool) -> DataFrame:

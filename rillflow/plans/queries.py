@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillflow.dataset import Dataset
+from rillflow.functions.functional import curry, pipe, retry
 from rillflow.functions.option import Option
 from rillflow.functions.result import Result
 from rillflow.operators import collectors as C
@@ -331,7 +332,7 @@ def iterate(spark, sf_dir):
     return Dataset.iterate(spark, 7, lambda v: (v * 6364 + 1442) % 1000003, 50).df
 
 
-@query("SELECT event_id, user_id * 2 AS value FROM events WHERE event_id < 1000")
+@query("SELECT event_id, user_id * 2 AS value FROM events")
 def map_async(spark, sf_dir):
     async def double(x):
         return int(x) * 2
@@ -340,6 +341,217 @@ def map_async(spark, sf_dir):
     return aio.map_async(d, "user_id", double, "bigint", concurrency=32).select("event_id", "result.value")
 
 
+# --- terminals: what the methods return, as one row -----------------------------------------
+
+def _row(spark, schema: str, *values) -> DataFrame:
+    return spark.createDataFrame([values], schema)
+
+
+@query("SELECT coalesce(bool_or(value > 99), false) AS any_big, coalesce(bool_and(value > 0), true) AS all_positive, NOT coalesce(bool_or(value < 0), false) AS none_negative FROM events")
+def matches(spark, sf_dir):
+    e = events(spark, sf_dir)
+    return _row(spark, "any_big boolean, all_positive boolean, none_negative boolean", e.any_match(lambda r: r.value > 99), e.all_match(lambda r: r.value > 0), e.none_match(lambda r: r.value < 0))
+
+
+@query("SELECT count(*) AS n, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total FROM orders")
+def count_sum(spark, sf_dir):
+    d = orders(spark, sf_dir)
+    return _row(spark, "n long, total double", d.count(), float(d.sum(money("o_totalprice"))))
+
+
+@query("SELECT (SELECT o_orderkey FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 1) AS low, (SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 1) AS high, (SELECT min(o_totalprice) FROM orders) AS least, (SELECT max(o_totalprice) FROM orders) AS most")
+def min_max(spark, sf_dir):
+    d = Dataset(orders(spark, sf_dir).df.select("o_orderkey", F.col("o_orderkey").alias("key"), "o_totalprice"), "o_orderkey", "key")
+    price = orders(spark, sf_dir).map(price="o_totalprice")
+    return _row(spark, "low long, high long, least double, most double", d.min("o_totalprice").value, d.max("o_totalprice").value, price.min().value, price.max().value)
+
+
+@query("""WITH RECURSIVE s AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) AS rn FROM supplier),
+  f AS (SELECT CAST(0 AS BIGINT) AS rn, CAST(7 AS BIGINT) AS v UNION ALL SELECT s.rn, (f.v * 31 + s.s_suppkey) % 1000003 FROM f JOIN s ON s.rn = f.rn + 1)
+  SELECT (SELECT v FROM f ORDER BY rn DESC LIMIT 1) AS folded, (SELECT max(s_suppkey) FROM supplier) AS most, (SELECT string_agg(s_name, '' ORDER BY s_suppkey) FROM supplier) AS names""")
+def reduce_terminal(spark, sf_dir):
+    keys = Dataset(table(spark, sf_dir, "supplier", "s_suppkey").df.select("s_suppkey", F.col("s_suppkey").cast("long").alias("key")), "s_suppkey")
+    names = table(spark, sf_dir, "supplier", "s_suppkey").map(name="s_name")
+    return _row(spark, "folded long, most long, names string", keys.reduce(7, lambda a, x: (a * 31 + x) % 1000003), keys.reduce(max), names.combine(lambda a, b: a + b).value)
+
+
+@query("SELECT string_agg(n_name, ', ' ORDER BY n_nationkey) AS names FROM nation")
+def join_terminal(spark, sf_dir):
+    return _row(spark, "names string", table(spark, sf_dir, "nation", "n_nationkey").map(name="n_name").join(", "))
+
+
+@query("SELECT (SELECT event_type FROM events WHERE user_id > 5 ORDER BY event_id LIMIT 1) AS found, 'none' AS missing")
+def find_first_terminal(spark, sf_dir):
+    kinds = events(spark, sf_dir)
+    return _row(spark, "found string, missing string", kinds.filter(lambda r: r.user_id > 5).map(kind="event_type").find_first().value, kinds.filter(lambda r: r.event_id < 0).map(kind="event_type").find_first().or_else("none"))
+
+
+@query("SELECT count(*) AS count, round(sum(o_custkey), 4) AS sum, round(avg(o_custkey), 4) AS mean, round(stddev_samp(o_custkey), 4) AS std, min(o_custkey) AS min, max(o_custkey) AS max FROM orders")
+def describe_terminal(spark, sf_dir):
+    d = orders(spark, sf_dir).describe("o_custkey")
+    return _row(spark, "count long, sum double, mean double, std double, min long, max long", d["count"], float(d["sum"]), round(d["mean"], 4), round(d["std"], 4), d["min"], d["max"])
+
+
+@query("SELECT i AS ord, v AS value FROM (SELECT unnest([10, 20, 30]) AS v, generate_subscripts([10, 20, 30], 1) - 1 AS i)")
+def of(spark, sf_dir):
+    return Dataset.of(spark, 10, 20, 30, schema="int").df
+
+
+@query("SELECT i AS ord, i * i AS value FROM range(20) t(i)")
+def generate(spark, sf_dir):
+    numbers = iter(range(20))
+    return Dataset.generate(spark, lambda: next(numbers) ** 2, 20, "bigint").df
+
+
+@query("SELECT i AS ord, 3 AS value FROM range(50) t(i)")
+def generate_column(spark, sf_dir):
+    return Dataset.generate(spark, F.lit(3), 50).df
+
+
+@query("SELECT o_orderkey, o_totalprice * 2 AS twice FROM orders")
+def parallel(spark, sf_dir):
+    return orders(spark, sf_dir).parallel(6).map(twice=lambda r: r.o_totalprice * 2).df
+
+
+@query("SELECT r_name AS name, row_number() OVER (ORDER BY r_regionkey) - 1 AS place FROM region")
+def to_list(spark, sf_dir):
+    return spark.createDataFrame([(x, i) for i, x in enumerate(table(spark, sf_dir, "region", "r_regionkey").map(name="r_name").to_list())], "name string, place long")
+
+
+@query("SELECT DISTINCT event_type AS kind FROM events")
+def to_set(spark, sf_dir):
+    return spark.createDataFrame([(x,) for x in events(spark, sf_dir).map(kind="event_type").to_set()], "kind string")
+
+
+@query("SELECT n_nationkey AS key, n_name AS name FROM nation")
+def iterated(spark, sf_dir):
+    names = table(spark, sf_dir, "nation", "n_nationkey").map(name="n_name")
+    return spark.createDataFrame(list(enumerate(names)), "key long, name string")
+
+
+@query("SELECT n_name AS name, n_regionkey AS region FROM nation")
+def to_df_to_np(spark, sf_dir):
+    d = Dataset(table(spark, sf_dir, "nation", "n_nationkey").df.select("n_nationkey", "n_name", "n_regionkey"), "n_nationkey")
+    frame, array = d.to_df(["name", "region"]), d.to_np()
+    return spark.createDataFrame([(a, int(y)) for a, (_, y) in zip(frame["name"], array, strict=True)], "name string, region int")
+
+
+@query("SELECT count(*) AS n, max(event_id) AS last FROM events")
+def peek(spark, sf_dir):
+    from pyspark.sql import Observation
+
+    seen = Observation()
+    events(spark, sf_dir).peek(seen, F.count(F.lit(1)).alias("n"), F.max("event_id").alias("last")).df.write.format("noop").mode("overwrite").save()
+    return _row(spark, "n long, last long", seen.get["n"], seen.get["last"])
+
+
+@query("SELECT count(*) AS n, CAST(sum(user_id) AS BIGINT) AS total FROM events")
+def for_each(spark, sf_dir):
+    n, total = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def action(r):
+        n.add(1)
+        total.add(r["user_id"])
+
+    events(spark, sf_dir).for_each(action)
+    return _row(spark, "n long, total long", n.value, total.value)
+
+
+@query("""SELECT doc_id, quality IS NOT NULL AS present, quality IS NULL AS empty, quality * 10 AS tens, coalesce(quality, 5) AS got, coalesce(quality, 0) AS thrown
+  FROM documents LEFT JOIN labels USING (doc_id)""")
+def option_methods(spark, sf_dir):
+    d = table(spark, sf_dir, "documents", "doc_id").df.join(table(spark, sf_dir, "labels", "doc_id").df, "doc_id", "left")
+    q = Option.of_nullable(F.col("quality"))
+    some = Option.of(F.coalesce("quality", F.lit(0)))
+    return d.select("doc_id", q.is_present().alias("present"), q.is_empty().alias("empty"), q.flat_map(lambda c: Option.of_nullable(c * 10)).value.alias("tens"), q.or_else_get(lambda: F.lit(5)).alias("got"), some.or_else_throw().alias("thrown"))
+
+
+@query("SELECT 'seen 4' AS present, 'Option(4)' AS shown, 'Option.empty()' AS nothing, 'no value' AS error")
+def option_values(spark, sf_dir):
+    seen: list[str] = []
+    Option.of(4).if_present(lambda x: seen.append(f"seen {x}"))
+    Option.empty().if_present(lambda x: seen.append("never"))
+    try:
+        Option.empty().or_else_throw()
+    except Exception as e:
+        error = str(e)
+    return _row(spark, "present string, shown string, nothing string, error string", *seen, repr(Option.of(4)), repr(Option.empty()), error)
+
+
+@query("SELECT event_id, event_id % 3 <> 0 AS ok, CASE WHEN event_id % 3 <> 0 AND user_id % 2 = 0 THEN user_id // 2 END AS half FROM events")
+def result_flat_map(spark, sf_dir):
+    half = lambda v: Result(F.when(v % 2 == 0, Result.success((v / 2).cast("bigint")).c).otherwise(Result.failure("odd", "bigint").c))
+    r = Result(F.col("value"))
+    return _tried(spark, sf_dir).df.select("event_id", r.is_success().alias("ok"), r.flat_map(half, "bigint").c["value"].alias("half"))
+
+
+@query("SELECT count(*) FILTER (WHERE event_id % 3 <> 0) AS successes, count(*) FILTER (WHERE event_id % 3 = 0) AS failures FROM events")
+def result_on_success_on_failure(spark, sf_dir):
+    r = Result(F.col("value"))
+    return _tried(spark, sf_dir).df.agg(r.on_success(), r.on_failure())
+
+
+@query("SELECT event_id, user_id AS value FROM events WHERE event_id % 3 <> 0")
+def result_get_or_throw(spark, sf_dir):
+    d = _tried(spark, sf_dir)
+    return d.filter(Result(F.col("value")).is_success()).map(value=Result(F.col("value")).get_or_throw()).df
+
+
+@query("SELECT event_id, CASE WHEN user_id % 4 <> 0 THEN 100 // (user_id % 4) END AS value, CASE WHEN user_id % 4 = 0 THEN 'ZeroDivisionError' END AS error FROM events")
+def result_of(spark, sf_dir):
+    r = Result.of(lambda x: 100 // (x % 4), F.col("user_id"), "bigint")
+    return events(spark, sf_dir).df.select("event_id", r.c.alias("r")).select("event_id", "r.value", F.col("r.error.type").alias("error"))
+
+
+@query("SELECT c_custkey, c_acctbal * 2 + 1 AS value FROM customer WHERE c_acctbal > 0")
+def piped(spark, sf_dir):
+    scaled = curry(lambda by, plus, d: d.map(value=lambda r: r.c_acctbal * by + plus))
+    return pipe(table(spark, sf_dir, "customer", "c_custkey"), lambda d: d.filter(lambda r: r.c_acctbal > 0), scaled(2)(1)).df
+
+
+@query("SELECT s_suppkey, s_suppkey + 1 AS value FROM supplier")
+def retried(spark, sf_dir):
+    failed: set[int] = set()
+
+    @retry(attempts=3, first=0.0, jitter=False)
+    async def call(x):
+        if x % 2 and x not in failed:
+            failed.add(x)
+            raise OSError("busy")
+        return int(x) + 1
+
+    d = table(spark, sf_dir, "supplier", "s_suppkey").df.select("s_suppkey")
+    return aio.map_async(d, "s_suppkey", call, "bigint", concurrency=32).select("s_suppkey", "result.value")
+
+
+@query("SELECT event_id, user_id + 3 AS value FROM events")
+def map_async_unordered(spark, sf_dir):
+    async def add(x):
+        return int(x) + 3
+
+    d = Dataset(events(spark, sf_dir).df.select("event_id", "user_id"), "event_id")
+    return d.to_async("user_id", add, "bigint", concurrency=32, ordered=False).df.select("event_id", "result.value")
+
+
+@query("SELECT c_custkey, length(c_name) * 7 AS value FROM customer")
+def map_udf(spark, sf_dir):
+    weigh = F.udf(lambda s: len(s) * 7, "long", useArrow=True)
+    return table(spark, sf_dir, "customer", "c_custkey").map(value=lambda r: weigh(r.c_name)).df
+
+
+@query("""WITH RECURSIVE s AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) AS rn FROM supplier),
+  f AS (SELECT CAST(0 AS BIGINT) AS rn, CAST(1 AS BIGINT) AS v UNION ALL SELECT s.rn, (f.v * 17 + s.s_suppkey) % 10007 FROM f JOIN s ON s.rn = f.rn + 1)
+  SELECT rn - 1 AS index, v AS value FROM f""")
+def scan_with(spark, sf_dir):
+    return table(spark, sf_dir, "supplier", "s_suppkey").scan(lambda a, x: (a * 17 + x) % 10007, 1, "s_suppkey").df
+
+
+@query("SELECT status, string_agg(o_orderpriority || '=' || n, ';' ORDER BY o_orderpriority) AS items, CAST(sum(n) AS BIGINT) AS total FROM (SELECT o_orderstatus AS status, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL) GROUP BY status")
+def group_in_group(spark, sf_dir):
+    d = orders(spark, sf_dir).collect(C.grouping_by({"status": "o_orderstatus"}, {"groups": C.grouping_by("o_orderpriority", C.counting()), "total": C.counting()}))
+    return d.select("status", shown(F.transform("groups", lambda g: F.concat(g["key"], F.lit("="), g["value"].cast("string"))), ";").alias("items"), "total")
+
+
 @query("SELECT s_suppkey, n_name, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
 def lookup_composition(spark, sf_dir):
     """What users build from to_dict and map: a join; Spark picks the broadcast by the sizes it knows."""

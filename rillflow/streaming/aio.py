@@ -15,11 +15,12 @@ from rillflow.functions.functional import retry as with_retry
 ERROR = T.StructType([T.StructField("type", T.StringType()), T.StructField("message", T.StringType())])
 
 
-def map_async(df: DataFrame, column: str, f: Callable[..., Awaitable], kind: str, concurrency: int = 16, timeout: float | None = None, attempts: int = 1, backoff: float = 1.5, first_wait: float = 1.0, into: str = "result") -> DataFrame:
+def map_async(df: DataFrame, column: str, f: Callable[..., Awaitable], kind: str, concurrency: int = 16, timeout: float | None = None, attempts: int = 1, backoff: float = 1.5, first_wait: float = 1.0, into: str = "result", ordered: bool = True) -> DataFrame:
     """``df`` with a result struct of ``await f(value)`` for each row; errors and timeouts are captured.
 
     No more than ``concurrency`` calls of a task are in flight, and never more than a
-    batch of rows is held. Rows keep their columns, so any order can be restored.
+    batch of rows is held. Rows keep their columns, so any order can be restored; with
+    ``ordered=False`` they come out as their calls finish.
     """
     if concurrency < 1 or attempts < 1:
         raise ValueError("concurrency and attempts must be at least 1")
@@ -36,13 +37,22 @@ def map_async(df: DataFrame, column: str, f: Callable[..., Awaitable], kind: str
                 except Exception as e:
                     return {"is_success": False, "value": None, "error": {"type": type(e).__name__, "message": str(e)}}
 
-        return await asyncio.gather(*map(one, values))
+        finished: list[int] = []
+
+        async def numbered(i, x):
+            out = await one(x)
+            finished.append(i)
+            return out
+
+        out = await asyncio.gather(*(numbered(i, x) for i, x in enumerate(values)))
+        return out, range(len(out)) if ordered else finished
 
     def run(batches):
         for pdf in batches:
             for at in range(0, len(pdf), 64 * concurrency):
                 part = pdf.iloc[at : at + 64 * concurrency]
-                yield part.assign(**{into: pd.Series(asyncio.run(gather(part[column].tolist())), index=part.index, dtype=object)})
+                found, places = asyncio.run(gather(part[column].tolist()))
+                yield part.assign(**{into: pd.Series(found, index=part.index, dtype=object)}).iloc[list(places)]
 
     return df.mapInPandas(run, T.StructType([*df.schema.fields, T.StructField(into, result)]))
 

@@ -155,3 +155,27 @@ def test_streaming_equals_batch(spark, tmp_path):
     streams.drain(streams.throttle(source, ["user_id"], seconds, 86400, ["event_id"]), f"{tmp_path}/out", f"{tmp_path}/state")
     batch = Dataset(e, "event_id").debounce(seconds, 86400, ["user_id"]).df
     assert {r[0] for r in spark.read.parquet(f"{tmp_path}/out").select("event_id").collect()} == {r[0] for r in batch.select("event_id").collect()}
+
+
+def test_rows_without_a_time_join_the_open_window(spark):
+    d = Dataset(spark.createDataFrame([(1, None), (2, 5.0), (3, None), (4, 14.0), (5, 15.0), (6, None)], "id long, t double"), "id")
+    assert [(r["id"], r["window_id"], r["window_start"]) for r in d.window_by_time("t", 10).df.orderBy("id").collect()] == [(1, 0, None), (2, 0, 5.0), (3, 0, 5.0), (4, 0, 5.0), (5, 1, 15.0), (6, 1, 15.0)]
+    assert [r["id"] for r in d.debounce("t", 10).df.orderBy("id").collect()] == [1, 5]
+
+
+def test_groupings_nest_to_any_depth(spark):
+    rows = [(i, "ab"[i % 2], None if i % 3 == 0 else f"x{i % 3}", i % 4) for i in range(24)]
+    d = Dataset(spark.createDataFrame(rows, "id long, a string, b string, c int"), "id")
+    got = d.collect(C.grouping_by("a", C.grouping_by("b", C.grouping_by("c", C.mapping("id", C.summing()))))).collect()
+    found = {(r["key"], s["key"], t["key"]): t["value"] for r in got for s in r["value"] for t in s["value"]}
+    want = {}
+    for i, a, b, c in rows:
+        want[a, b, c] = want.get((a, b, c), 0) + i
+    assert found == want
+
+
+def test_combine_and_scan_keep_the_order(spark):
+    d = Dataset.from_rows(spark, [f"{i}," for i in range(200)], "string")
+    assert d.combine(lambda a, b: a + b).value == "".join(f"{i}," for i in range(200))
+    assert Dataset.from_rows(spark, [], "string").combine(lambda a, b: a + b).is_empty()
+    assert [r["value"] for r in Dataset.from_rows(spark, [1, 2, 3], "long").scan(lambda a, x: a * 10 + x, 0).df.orderBy("index").collect()] == [0, 1, 12, 123]
