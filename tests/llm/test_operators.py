@@ -8,6 +8,7 @@ import time
 import zlib
 from collections import Counter, defaultdict
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -577,3 +578,44 @@ def test_langid_of_odd_rows(spark):
     assert sorted(r["lang_pred"] for r in langid.identify(odd).collect()) == ["aa", "aa", "aa", "cc"]
     model = langid.train(odd)
     assert [(r["lang_pred"], r["lang"]) for r in langid.predict(odd.where("doc_id is null"), model).collect()] == [("cc", "cc")]
+
+
+def test_pipeline_stage_by_stage(spark, docs, texts, tokenizer, tmp_path):
+    r = random.Random(12)
+    say = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7))) for _ in range(n)) + "."
+    more = [say(120) for _ in range(30)]
+    more += [f"{t} {say(2)}" for t in more[:8]] + [f"{more[20 + i]}\nThe same long line in several documents" for i in range(5)] + [" ".join(w + "&&&" for w in say(60).split()) for _ in range(5)]
+    extra = spark.createDataFrame([(1000 + i, t, "en", f"s{i % 3}", len(t)) for i, t in enumerate(more)] + [(None, None, None, None, None)] * 2, SCHEMA)
+    docs.unionByName(extra).write.parquet(f"{tmp_path}/documents.parquet")
+    current = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    seen = {}
+    for name, stage in corpus_pipeline.STAGES:
+        before = [tuple(x) for x in current.select(corpus_pipeline.COLUMNS).collect()]
+        current = common.written(stage(spark, current, str(tmp_path)), name)
+        seen[name] = before, [tuple(x) for x in current.collect()]
+        assert name == "bpe" or current.columns == corpus_pipeline.COLUMNS
+    before, after = seen["quality"]
+    good = {x["doc_id"] for x in quality.verdicts(spark.createDataFrame(before, SCHEMA)).where("kept").collect()}
+    assert sorted(after, key=str) == sorted((x for x in before if x[0] in good), key=str)
+    assert not any("&&&" in x[1] for x in after) and {1000 + i for i in range(30)} <= good
+    before, after = seen["line_dedup"]
+    key = lambda line: line.strip(" \t\n\v\f\r").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    holders = defaultdict(set)
+    for x in before:
+        for line in x[1].split("\n"):
+            if len(key(line)) >= 20:
+                holders[key(line)].add(x[0])
+    left = lambda x: "\n".join(line for line in x[1].split("\n") if len(holders[key(line)]) < 3 or max(holders[key(line)]) == x[0])
+    assert {x[0]: x[1] for x in after} == {x[0]: left(x) for x in before} and after != before
+    before, after = seen["near_copies"]
+    before = sorted(before)
+    sets = shingle_sets([x[1] for x in before], 5)
+    root = smallest(len(sets), [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])])
+    assert sorted(after) == [x for i, x in enumerate(before) if root[i] == i] and len(after) < len(before) - 5
+    before, after = seen["mixing"]
+    plan = mixing.mixing_plan(spark.createDataFrame(before, SCHEMA)).collect()
+    assert Counter(x[0] for x in after) == Counter({x["doc_id"]: len(x["positions"]) for x in plan if x["positions"]}) and set(after) <= set(before)
+    before, after = seen["bpe"]
+    want = Counter((x[0], len(tokenizer.encode(x[1], add_special_tokens=False).ids)) for x in before)
+    assert Counter(x[:2] for x in after) == want
+    assert Counter(x[:2] for x in corpus_pipeline.run(spark, str(tmp_path)).collect()) == want
