@@ -40,7 +40,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not where and not sc.master.startswith("local["):
+        if not where and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="rillflow-"))
     path = f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}.parquet"
