@@ -7,8 +7,9 @@ The element of a dataset is its row, or one column of it (``value``).
 
 from __future__ import annotations
 
+import asyncio
 import functools
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import AsyncIterable, Callable, Iterable, Iterator
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,6 +49,25 @@ class Dataset:
             df = spark.createDataFrame(rows, ["ord", "value"])
         return Dataset(df, "ord")
 
+    @staticmethod
+    def from_aiterable(spark: SparkSession, elements: AsyncIterable[Any], schema: str | None = None, n: int | None = None) -> Dataset:
+        """From an async iterable, read on the driver: all of it, or ``n`` elements, after which it is closed."""
+
+        async def gathered() -> list:
+            out, source = [], aiter(elements)
+            try:
+                while n is None or len(out) < n:
+                    try:
+                        out.append(await anext(source))
+                    except StopAsyncIteration:
+                        break
+            finally:
+                if close := getattr(source, "aclose", None):
+                    await close()
+            return out
+
+        return Dataset.from_rows(spark, asyncio.run(gathered()), schema)
+
     @staticmethod
     def generate(spark: SparkSession, supplier: Expr | Callable[[], Any], n: int, schema: str | None = None) -> Dataset:
         """``n`` values of a supplier: a Column (F.rand(), say), or with ``schema`` a Python function, called in order on the driver."""
@@ -59,9 +79,8 @@ class Dataset:
     @staticmethod
     def iterate(spark: SparkSession, seed: Any, f: Callable[[Column], Column], n: int, kind: str = "bigint") -> Dataset:
         """seed, f(seed), f(f(seed)), ...: ``n`` values, as a fold inside one row."""
-        first = F.lit(seed).cast(kind)
-        step = lambda acc, _: F.concat(acc, F.array(f(F.element_at(acc, -1)).cast(kind)))
-        values = F.aggregate(F.sequence(F.lit(1), F.lit(max(n - 1, 1))), F.array(first), step) if n > 1 else F.array(first)
+        steps = F.sequence(F.lit(1), F.lit(n - 1)) if n > 1 else F.array().cast("array<int>")
+        values = order.folds(steps, F.lit(seed).cast(kind), lambda total, _: f(total).cast(kind))
         return Dataset(spark.range(1).select(F.posexplode(values).alias("ord", "value")).where(F.col("ord") < n), "ord")
 
     @staticmethod
@@ -218,8 +237,7 @@ class Dataset:
         """A general running fold for each key: (keys, index, value), identity first. A key's values meet in one row."""
         x = self._x() if value is None else exprs.column(self.df, value)
         held = self.df.groupBy(*keys).agg(order.ordered_list(x, *self._order()).alias("_xs"))
-        steps = F.aggregate("_xs", F.array(identity), lambda acc, e: F.concat(acc, F.array(f(F.element_at(acc, -1), e))))
-        return held.select(*keys, F.posexplode(steps).alias("index", "value"))
+        return held.select(*keys, F.posexplode(order.folds(F.col("_xs"), identity, f)).alias("index", "value"))
 
     def distinct(self) -> Dataset:
         rest = [c for c in self.df.columns if c not in self.order_by]

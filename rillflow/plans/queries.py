@@ -16,6 +16,7 @@ from rillflow.functions.functional import curry, pipe, retry
 from rillflow.functions.option import Option
 from rillflow.functions.result import Result
 from rillflow.operators import collectors as C
+from rillflow.sources.pages import read_paginated
 from rillflow.streaming import aio
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -403,6 +404,27 @@ def generate(spark, sf_dir):
     return Dataset.generate(spark, lambda: next(numbers) ** 2, 20, "bigint").df
 
 
+@query("SELECT i AS ord, i * 7 AS value FROM range(12) t(i)")
+def from_aiterable(spark, sf_dir):
+    async def sevens():
+        i = 0
+        while True:
+            yield 7 * i
+            i += 1
+
+    return Dataset.from_aiterable(spark, sevens(), "bigint", n=12).df
+
+
+@query("SELECT r_regionkey AS ord, r_name AS value FROM region")
+def from_paginated(spark, sf_dir):
+    names = table(spark, sf_dir, "region", "r_regionkey").map(name="r_name").to_list()
+
+    async def page(at):
+        return at, names[at : at + 2]
+
+    return read_paginated(spark, "value string", lambda start: page(0), lambda p: page(p[0] + 2), lambda p: p[1], lambda p: p[0] + 2 < len(names)).df
+
+
 @query("SELECT i AS ord, 3 AS value FROM range(50) t(i)")
 def generate_column(spark, sf_dir):
     return Dataset.generate(spark, F.lit(3), 50).df

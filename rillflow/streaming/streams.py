@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import asyncio
 from collections.abc import Iterator
 
 import pandas as pd
@@ -96,3 +97,22 @@ def for_each_batch(df: DataFrame, action, checkpoint: str) -> StreamingQuery:
     query = df.writeStream.foreachBatch(action).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
+
+
+class Running:
+    """A streaming query that stops at the end of its ``with`` or ``async with`` block, whatever happens in it."""
+
+    def __init__(self, query: StreamingQuery):
+        self.query = query
+
+    def __enter__(self) -> StreamingQuery:
+        return self.query
+
+    def __exit__(self, *_) -> None:
+        self.query.stop()
+
+    async def __aenter__(self) -> StreamingQuery:
+        return self.query
+
+    async def __aexit__(self, *_) -> None:
+        await asyncio.to_thread(self.query.stop)

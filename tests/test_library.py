@@ -179,3 +179,61 @@ def test_combine_and_scan_keep_the_order(spark):
     assert d.combine(lambda a, b: a + b).value == "".join(f"{i}," for i in range(200))
     assert Dataset.from_rows(spark, [], "string").combine(lambda a, b: a + b).is_empty()
     assert [r["value"] for r in Dataset.from_rows(spark, [1, 2, 3], "long").scan(lambda a, x: a * 10 + x, 0).df.orderBy("index").collect()] == [0, 1, 12, 123]
+
+
+def test_running_folds_in_chunks(spark):
+    for n in (0, 1, 2, 5, 100):
+        assert Dataset.iterate(spark, 3, lambda v: v * 5 % 1009, n).to_list() == [3 * 5**i % 1009 for i in range(n)]
+    rows = [(i, "ab"[i % 3 == 0], i) for i in range(100)] + [(100, "c", 7)]
+    got = Dataset(spark.createDataFrame(rows, "id long, k string, x long"), "id").scan_by(["k"], F.lit(1).cast("bigint"), lambda a, x: (a * 31 + x) % 1009, "x").collect()
+    for k in "abc":
+        want = [1]
+        for _, j, x in rows:
+            if j == k:
+                want.append((want[-1] * 31 + x) % 1009)
+        assert [r["value"] for r in sorted((r for r in got if r["k"] == k), key=lambda r: r["index"])] == want
+
+
+def test_positions_of_columns_with_awkward_names_and_types(spark):
+    df = spark.createDataFrame([(3, "x"), (1, "y"), (2, "z")], "id long, a string")
+    clashing = df.select("id", "a", F.lit(5).alias("c0"), F.lit("b c").alias("b;c"))
+    assert [r["pos"] for r in Dataset(clashing, "id").with_position().orderBy("id").collect()] == [0, 1, 2]
+    assert Dataset(df.withColumn("nothing", F.lit(None)), "id", "a").skip(1).to_list() == ["z", "x"]
+
+
+def test_async_sources_are_read_and_closed(spark):
+    closed = []
+
+    async def counting():
+        i = 0
+        try:
+            while i < 100:
+                yield i
+                i += 1
+        finally:
+            closed.append(True)
+
+    assert Dataset.from_aiterable(spark, counting(), "int", n=3).to_list() == [0, 1, 2] and closed == [True]
+    assert Dataset.from_aiterable(spark, counting(), "int").count() == 100
+
+    async def page(number):
+        await asyncio.sleep(0)
+        return number
+
+    got = read_paginated(spark, "value long", lambda start: page(0), lambda p: page(p + 1), lambda p: [p * 2, p * 2 + 1], lambda p: p < 2)
+    assert got.to_list() == [0, 1, 2, 3, 4, 5]
+
+
+def test_streams_stop_with_their_block(spark):
+    start = lambda name: streams.interval(spark, 10).writeStream.format("memory").queryName(name).start()
+    with pytest.raises(ValueError), streams.Running(start("plain")) as query:
+        assert query.isActive
+        raise ValueError("stop")
+    assert not query.isActive
+
+    async def run():
+        async with streams.Running(start("waiting")) as query:
+            assert query.isActive
+        return query
+
+    assert not asyncio.run(run()).isActive
