@@ -111,7 +111,52 @@ SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (WHERE
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM m GROUP BY doc_id"""
 
+#: All pairs of distinct shingle sets that share a shingle, and all classes reachable from each.
+_JOIN = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \\t\\n\\v\\f\\r]+') AS w
+  FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) END AS s
+  FROM w),
+c AS (SELECT s, min(doc_id) AS c, len(s) AS n FROM s WHERE len(s) > 0 GROUP BY s),
+x AS (SELECT c, n, unnest(s) AS g FROM c),
+e AS (
+  SELECT a.c AS u, b.c AS v FROM x a JOIN x b ON a.g = b.g AND a.c < b.c AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+  GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+f AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e),
+r(c, reached) AS (SELECT c, c FROM c UNION SELECT r.c, f.v FROM r JOIN f ON r.reached = f.u),
+m AS (SELECT c, min(reached) AS component_id FROM r GROUP BY c)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(m.component_id, s.doc_id) AS component_id
+FROM s LEFT JOIN c ON s.s = c.s LEFT JOIN m ON c.c = m.c"""
+#: Every string of 400 bytes; what is kept is put together as hexadecimal digits.
+_PASSAGES = """
+WITH h AS (SELECT doc_id, encode(coalesce(text, '')) AS h, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents),
+p AS (SELECT doc_id, i, md5(array_slice(h, i + 1, i + 400)) AS k FROM (SELECT doc_id, h, unnest(range(n - 399)) AS i FROM h)),
+t AS (SELECT doc_id, i FROM p QUALIFY count(*) OVER (PARTITION BY k) > 1),
+g AS (SELECT doc_id, i, coalesce(i > lag(i) OVER w + 400, true) AS opens FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+q AS (SELECT doc_id, i, sum(CAST(opens AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g),
+spans AS (SELECT doc_id, min(i) AS lo, max(i) + 400 AS hi FROM q GROUP BY doc_id, run),
+cut AS (SELECT doc_id, lo, hi, lag(hi, 1, 0) OVER (PARTITION BY doc_id ORDER BY lo) AS before FROM spans),
+k AS (
+  SELECT doc_id, count(*) AS n_spans, sum(hi - lo) AS n_removed, max(hi) AS last, string_agg(hex(array_slice(h, before + 1, lo)), '' ORDER BY lo) AS kept
+  FROM cut JOIN h USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(kept, '') || hex(array_slice(h, coalesce(last, 0) + 1, n)))) AS kept_sha256
+FROM h LEFT JOIN k USING (doc_id)"""
+#: All pairs of a label.
+_VECTORS = """
+WITH RECURSIVE d AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+e AS (SELECT a.vec_id AS u, b.vec_id AS v FROM d a JOIN d b ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+r(vec_id, reached) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.vec_id, e.v FROM r JOIN e ON r.reached = e.u),
+m AS (SELECT vec_id, min(reached) AS component_id FROM r GROUP BY vec_id),
+l AS (SELECT u AS vec_id, count(*) AS n FROM e GROUP BY u)
+SELECT m.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, m.vec_id = component_id AS kept FROM m LEFT JOIN l USING (vec_id)"""
+
 
 def oracle_sql() -> dict[str, str]:
     """Duplicate ids apart, the SQL of the operators that need no model, hash function or tokenizer of their own."""
-    return {"op3_mixing": _MIX, "op4_line_dedup": _LINES}
+    return {"op2_ngram_join": _JOIN, "op3_mixing": _MIX, "op4_line_dedup": _LINES, "op5_passages": _PASSAGES, "op9_embeddings": _VECTORS}

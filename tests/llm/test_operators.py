@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import corpus_pipeline
+import duckdb
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -619,3 +620,22 @@ def test_pipeline_stage_by_stage(spark, docs, texts, tokenizer, tmp_path):
     want = Counter((x[0], len(tokenizer.encode(x[1], add_special_tokens=False).ids)) for x in before)
     assert Counter(x[:2] for x in after) == want
     assert Counter(x[:2] for x in corpus_pipeline.run(spark, str(tmp_path)).collect()) == want
+
+
+def test_sql_equals_the_queries(spark, docs, tmp_path):
+    r = np.random.default_rng(7)
+    base = r.normal(size=(20, 16))
+    vectors = [(i, (base[i % 20] * (1 + i % 3) + r.normal(scale=0.002, size=16)).astype(np.float32).tolist(), i % 2) for i in range(120)]
+    vectors += [(300, None, 1), (301, [0.0] * 16, 1), (302, [float("nan"), *vectors[0][1][1:]], 0), (303, [None, *vectors[0][1][1:]], 0), (304, vectors[0][1], None), (305, [], 0), (306, vectors[0][1][:7], 0)]
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    db = duckdb.connect()
+    for name in ("documents", "embeddings"):
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    for name in ("op2_ngram_join", "op3_mixing", "op4_line_dedup", "op5_passages", "op9_embeddings"):
+        got = queries.queries()[name](spark, str(tmp_path))
+        columns = sorted(got.columns)
+        want = db.sql(f"SELECT {', '.join(columns)} FROM ({queries.oracle_sql()[name]})").fetchall()
+        assert Counter(map(tuple, got.select(columns).collect())) == Counter(want), name
+    linked = db.sql(f"SELECT count(*) FILTER (WHERE n_links > 0), count(*) FILTER (WHERE NOT kept) FROM ({queries.oracle_sql()['op9_embeddings']})").fetchall()
+    assert linked == [(120, 100)]
