@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import asyncio
 import functools
+import graphlib
 from collections.abc import AsyncIterable, Callable, Iterable, Iterator
 from typing import Any
 
@@ -85,12 +86,29 @@ class Dataset:
 
     @staticmethod
     def chain(first: Dataset, *others: Dataset) -> Dataset:
-        """One after the other; columns that one lacks are null."""
-        parts = [d.df.withColumn("_source", F.lit(i)) for i, d in enumerate((first, *others))]
-        df = parts[0]
-        for p in parts[1:]:
-            df = df.unionByName(p, allowMissingColumns=True)
-        return Dataset(df, ["_source", *first.order_by], first.value)
+        """One after the other, each in its own order; columns that one lacks are null.
+
+        Where datasets name their elements differently, the others' take the name of the first's.
+        Keys that two of them hold in opposite orders are refused, as are keys that are no key of another.
+        """
+        parts = [first, *(d._named(first.value) for d in others)]
+        sorter = graphlib.TopologicalSorter()
+        for d in parts:
+            for before, key in zip([None, *d.order_by], d.order_by, strict=False):
+                sorter.add(key, *([before] if before else []))
+        keys = list(sorter.static_order())  # holds the keys of each in its own order
+        for d in parts:
+            if mixed := set(keys).intersection(d.df.columns).difference(d.order_by):
+                raise ValueError(f"{sorted(mixed)} are keys of one dataset and plain columns of another: rename them")
+        source = _free("_source", [c for d in parts for c in d.df.columns])
+        df = functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (d.df.withColumn(source, F.lit(i)) for i, d in enumerate(parts)))
+        return Dataset(df, [source, *keys], first.value)
+
+    def _named(self, value: str | None) -> Dataset:
+        """The same elements by the name ``value``, if both have one."""
+        if not value or not self.value or value == self.value or value in self.order_by:
+            return self
+        return Dataset(self.df.select(*self._order(), F.col(self.value).alias(value)), self.order_by, value)
 
     # --- row by row --------------------------------------------------------------------
 
@@ -115,7 +133,8 @@ class Dataset:
 
     def flat_map(self, f: Expr) -> Dataset:
         """A row per element of an array; none for an empty or null one."""
-        return Dataset(self.df.select(*self._order(), F.posexplode(exprs.column(self.df, f)).alias("item", "value")), [*self.order_by, "item"], "value")
+        item = _free("item", self.order_by)
+        return Dataset(self.df.select(*self._order(), F.posexplode(exprs.column(self.df, f)).alias(item, "value")), [*self.order_by, item], "value")
 
     def pick(self, key: str | int) -> Dataset:
         found = F.col(key) if not self.value and key in self.df.columns else exprs.pick(self.df, self._x(), key) if self.value else F.lit(None)
@@ -372,6 +391,14 @@ class Dataset:
         return self.to_df().to_numpy()
 
 
+def _free(name: str, taken: Iterable[str]) -> str:
+    """``name``, with as many underscores as it takes to differ from all that are taken (in any case)."""
+    taken = {c.lower() for c in taken}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def _check(n: int) -> None:
     if n < 0:
         raise ValueError("a count can't be negative")

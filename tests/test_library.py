@@ -237,3 +237,21 @@ def test_streams_stop_with_their_block(spark):
         return query
 
     assert not asyncio.run(run()).isActive
+
+
+def test_chains_and_flat_maps_nest(spark):
+    of = lambda *x: Dataset.of(spark, *x)
+    two = Dataset.chain(of(1, 2), of(3, 4))
+    assert Dataset.chain(two, of(5)).to_list() == [1, 2, 3, 4, 5]
+    assert Dataset.chain(of(0, 9), two, two).to_list() == [0, 9, 1, 2, 3, 4, 1, 2, 3, 4]
+    assert Dataset.chain(Dataset.chain(two, two), of(5)).batch(5).to_list() == [[1, 2, 3, 4, 1], [2, 3, 4, 5]]
+    assert Dataset.chain(of([7]), of(1, 2, 3).batch(2)).to_list() == [[7], [1, 2], [3]]
+    by_id = Dataset(spark.createDataFrame([(2, 20), (1, 10)], "id int, value long"), "id")
+    assert Dataset.chain(of(2, 1), by_id).to_list() == [2, 1, 10, 20]
+    with pytest.raises(ValueError, match="ord"):
+        Dataset.chain(of(1), Dataset(spark.createDataFrame([(1, 2, 3)], "id int, ord int, x int"), "id"))
+    deep = of([[[1], [2]], [[3, 4]]], [[[5]]])
+    for _ in range(3):
+        deep = deep.flat_map(lambda r: r.value)
+    assert deep.to_list() == [1, 2, 3, 4, 5]
+    assert deep.window(2).to_list() == [[1, 2], [2, 3], [3, 4], [4, 5]]
