@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rillflow.exceptions import StreamEmptyError
+from rillflow.exceptions import StreamEmptyError, task_errors
 from rillflow.functions import exprs
 from rillflow.functions.exprs import Expr
 from rillflow.functions.option import Option
@@ -280,15 +280,18 @@ class Dataset:
 
     # --- terminals -------------------------------------------------------------------------
 
+    @task_errors()
     def count(self) -> int:
         return self.df.count()
 
     def aggregate(self, *columns: Column) -> DataFrame:
         return self.df.agg(*columns)
 
+    @task_errors()
     def sum(self, value: Expr | None = None):
         return self.df.agg(F.coalesce(F.sum(self._x() if value is None else exprs.column(self.df, value)), F.lit(0))).first()[0]
 
+    @task_errors()
     def _extreme(self, key: Expr | None, low: bool) -> Option:
         by = self._x() if key is None else exprs.column(self.df, key)
         return Option(self.df.where(by.isNotNull()).orderBy(by.asc() if low else by.desc(), *self._order()).select(self._x().alias("x")).limit(1).first()).map(lambda r: r[0])
@@ -299,6 +302,7 @@ class Dataset:
     def max(self, key: Expr | None = None) -> Option:
         return self._extreme(key, False)
 
+    @task_errors()
     def find_first(self) -> Option:
         """The first element; empty also if it is null."""
         return Option(self.df.orderBy(*self._order()).select(self._x().alias("x")).first()).map(lambda r: r[0])
@@ -370,19 +374,23 @@ class Dataset:
         r = self.df.agg(F.count(F.lit(1)).alias("count"), F.sum(x).alias("sum"), F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std")).first().asDict()
         return {k: v for k, v in r.items() if v is not None} if r["count"] else {}
 
+    @task_errors()
     def to_list(self) -> list:
         return [r[0] for r in self.df.orderBy(*self._order()).select(self._x().alias("x")).collect()]
 
+    @task_errors()
     def to_set(self) -> set:
         return {r[0] for r in self.df.select(self._x().alias("x")).distinct().collect()}
 
     def __iter__(self) -> Iterator:
         return (r[0] for r in self.df.orderBy(*self._order()).select(self._x().alias("x")).toLocalIterator())
 
+    @task_errors()
     def for_each(self, action: Callable) -> None:
         """Runs on the executors, at least once a row."""
         self.df.foreach(action)
 
+    @task_errors()
     def to_df(self, columns: list[str] | None = None):
         rest = self.df.orderBy(*self._order()).drop(*self.order_by)
         return (rest.toDF(*columns) if columns else rest).toPandas()

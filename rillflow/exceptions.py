@@ -1,6 +1,9 @@
 """Errors of the library."""
 
-from pyspark.errors import PySparkException
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.errors import PySparkException, PythonException
 
 
 class StreamError(PySparkException):
@@ -20,3 +23,14 @@ class ParallelExecutionError(StreamError):
 
 class DependencyMissingError(StreamError):
     """An optional package is not installed."""
+
+
+@contextmanager
+def task_errors() -> Iterator[None]:
+    """What Python code raises in a task arrives as ParallelExecutionError, a package missing here as DependencyMissingError."""
+    try:
+        yield
+    except PythonException as e:
+        raise ParallelExecutionError(str(e)) from e
+    except ImportError as e:
+        raise DependencyMissingError(str(e)) from e

@@ -39,7 +39,7 @@ def truth(df: DataFrame, e: Expr) -> Column:
 
 
 def pick(df: DataFrame, of: Expr, key: str | int) -> Column:
-    """A struct's field, a map's value, or an array's element by non-negative index; null if missing."""
+    """A struct's field, a map's value, an array's element by non-negative index, or a field of JSON text (no quote or question mark in its name); null if missing."""
     c = column(df, of)
     kind = df.select(c.alias("c")).schema[0].dataType
     if isinstance(kind, T.ArrayType):
@@ -49,7 +49,7 @@ def pick(df: DataFrame, of: Expr, key: str | int) -> Column:
     if isinstance(kind, T.StructType):
         return c.getField(key) if key in kind.names else F.lit(None)
     if kind.simpleString() == "string":
-        return F.get_json_object(c, f"$.{key}")
+        return F.get_json_object(c, f"$['{key}']")
     return F.lit(None)
 
 

@@ -8,7 +8,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from rillflow import Collectors as C
-from rillflow import Dataset, Option, Result, StreamEmptyError, curry, pipe, retry
+from rillflow import Dataset, DependencyMissingError, Option, ParallelExecutionError, Result, StreamEmptyError, curry, pipe, retry
+from rillflow.exceptions import task_errors
 from rillflow.plans import queries as plans
 from rillflow.sources import files
 from rillflow.sources.pages import read_paginated
@@ -255,3 +256,21 @@ def test_chains_and_flat_maps_nest(spark):
         deep = deep.flat_map(lambda r: r.value)
     assert deep.to_list() == [1, 2, 3, 4, 5]
     assert deep.window(2).to_list() == [[1, 2], [2, 3], [3, 4], [4, 5]]
+
+
+def test_errors_of_tasks(spark):
+    failing = ints(spark, 2, 1, 0).map(lambda r: F.udf(lambda x: 2 // x, "bigint")(r.value))
+    for call in (failing.to_list, failing.to_set, failing.sum, failing.max, failing.to_df, lambda: failing.for_each(print)):
+        with pytest.raises(ParallelExecutionError, match="ZeroDivisionError"):
+            call()
+    with pytest.raises(DependencyMissingError, match="nowhere"), task_errors():
+        import nowhere  # noqa: F401
+    with pytest.raises(KeyError), task_errors():  # other errors pass
+        {}["a"]
+
+
+def test_fields_of_json_text(spark):
+    texts = Dataset.of(spark, '{"a": 1, "b.c": {"d": 2}, "e f": "x"}', "{}", "no json")
+    assert texts.pick("a").to_list() == ["1", None, None]
+    assert texts.pick("b.c").to_list() == ['{"d":2}', None, None]
+    assert texts.pick("e f").to_list() == ["x", None, None]
