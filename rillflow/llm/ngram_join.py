@@ -5,10 +5,11 @@
    their sizes. The hash space is cut into parts; of any D + 1 parts one is equal in
    both. Each class posts a hash of what it holds of so many parts, and classes that
    post the same hash are candidates. That needs no counts of the corpus, so nothing is
-   broadcast and nothing fills up: the rows posted are in proportion to the input. Of up
-   to PAIRED classes with a hash, those pairs go on whose sketches (counts of shingles by
-   CELLS ranges of hashes) let them be similar, so that groups of candidates don't grow
-   by chance meetings; more classes with one hash are a group at once.
+   broadcast and nothing fills up: the rows posted are in proportion to the input. Only
+   pairs go on whose sketches (counts of shingles by CELLS ranges of hashes) let them be
+   similar, so that groups of candidates don't grow by chance meetings. Up to PAIRED
+   classes with a hash are sent as pairs; more meet around the first of them, with their
+   sketches, so that the rows sent are no more than those posted.
 3. Each connected group of candidates is joined in a trie of its globally ordered sets
    (frequent shingles first, so that near copies share long paths). A query's overlap
    is counted once for all sets below a node; subtrees are pruned by what sizes and
@@ -29,14 +30,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import HOT_KEYS, bit_filter, components, discard, durable, holds, hot_keys, lookup, rows, shuffle_width
+from rillflow.llm.common import HOT_KEYS, bit_filter, components, discard, durable, holds, hot_keys, lookup, release, rows, shuffle_width
 
 #: Ratio of the sizes in a scheme of parts, and how often a set with too many empty parts is cut anew.
 RATIO, SEEDS = 1.5, 8
 #: One class in so many is looked at to find the hot hashes (which only decides how their rows are dealt).
 LOOKED_AT = 32
-#: Classes with one hash whose pairs are looked at, and cells of a sketch (a byte each).
-PAIRED, CELLS = 64, 256
+#: Classes with one hash that are sent as pairs, and cells of a sketch (a byte each).
+PAIRED, CELLS = 8, 256
+#: Classes of a crowd (more than PAIRED with one hash) that one task compares.
+CROWD = 4096
 #: Classes of a candidate group that one trie holds.
 BLOCK = 1024
 #: Digests that a task remembers in order not to send a set twice.
@@ -216,11 +219,11 @@ def posted(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
 
 def _meetings(batches):
-    """Rows (key, u) in order -> pairs (u, v) of classes that share a key; of more than PAIRED classes, those with the first (sure)."""
+    """Rows (key, u) in order -> pairs (u, v) of classes that share a key; of more than PAIRED classes, those with the first (star)."""
     last, tail, large = 0, np.zeros(0, np.int64), False
 
-    def out(u: np.ndarray, v: np.ndarray, sure: bool) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(np.full(len(u), sure))], ["u", "v", "sure"])
+    def out(u: np.ndarray, v: np.ndarray, star: bool) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(np.full(len(u), star))], ["u", "v", "star"])
 
     def pairs(u: np.ndarray, ends: np.ndarray):
         """Of each row with all later rows before its end."""
@@ -252,6 +255,66 @@ def _meetings(batches):
         yield from pairs(tail, np.full(len(tail), len(tail)))
 
 
+def alike(sizes: np.ndarray, sketches: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of sets (in order of size) that can be similar by size and sketch."""
+    left, out = np.arange(len(sizes)), []
+    while len(left):
+        todo, left = [left[0]], left[1:]
+        while todo and len(left):
+            x = todo.pop()
+            lo, hi = np.searchsorted(sizes[left], [least_overlap(int(sizes[x]), percent), 100 * int(sizes[x]) // percent + 1])
+            some = left[lo:hi]
+            found = may_be_similar(sketches[x][None], sketches[some], sizes[x] + sizes[some], percent)
+            if found.any():
+                todo += some[found].tolist()
+                out += [(int(x), y) for y in some[found].tolist()]
+                left = np.concatenate([left[:lo], some[~found], left[hi:]])
+    return out
+
+
+def _crowds(percent: int):
+    """Rows (hub, lo, hi, node, size, sketch) in order of all but the last two and of size -> pairs (u, v) of nodes."""
+
+    def run(batches):
+        key, held = None, []
+
+        def solved() -> pa.RecordBatch:
+            nodes = np.array([h[0] for h in held], np.int64)
+            found = np.array(alike(np.array([h[1] for h in held], np.int64), np.frombuffer(b"".join(h[2] for h in held), np.uint8).reshape(-1, CELLS), percent), np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(nodes[found[:, k]], pa.int64()) for k in (0, 1)], ["u", "v"])
+
+        for batch in batches:
+            for hub, lo, hi, *row in rows(batch, "hub", "lo", "hi", "node", "size", "sketch"):
+                if (hub, lo, hi) != key:
+                    if len(held) > 1:
+                        yield solved()
+                    key, held = (hub, lo, hi), []
+                held.append(row)
+        if len(held) > 1:
+            yield solved()
+
+    return run
+
+
+def crowded(stars: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) that connect what can be similar among the classes around each hub: of ``stars`` (u the hub, v).
+
+    Classes that share a hash share its hub, so that each of their pairs is looked at.
+    Crowds of more than CROWD classes are dealt out in pairs of blocks.
+    """
+    member = durable(stars.select(F.col("u").alias("hub"), F.col("v").alias("node")).unionByName(stars.select(F.col("u").alias("hub"), F.col("u").alias("node")).distinct()))
+    large = durable(member.groupBy("hub").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > CROWD))
+    few = large.limit(HOT_KEYS + 1).count() <= HOT_KEYS
+    dealt = member.join(classes.select(F.col("short").alias("node"), "size", "sketch"), "node").join(F.broadcast(large) if few else large, "hub", "left")
+    dealt = dealt.withColumn("parts", F.coalesce(F.ceil(F.col("rows") / CROWD), F.lit(1)).cast("int"))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), "parts").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("hub", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node", "size", "sketch")
+    dealt = dealt.repartition(shuffle_width(stars.sparkSession), "hub", "lo", "hi").sortWithinPartitions("hub", "lo", "hi", "size")
+    out = durable(dealt.mapInArrow(_crowds(percent), "u long, v long").distinct())
+    discard(member, large)
+    return out
+
+
 class Trie:
     """Sets as ascending sequences of ranks in a path-compressed tree; leaves are numbered in order."""
 
@@ -353,11 +416,12 @@ def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
     some = posted(raw.where(F.pmod(F.xxhash64("text"), F.lit(LOOKED_AT)) == 0), n, percent)
     hot = hot_keys(some.groupBy("key").agg(F.count(F.lit(1)).alias("rows")), ["key"])
     cold = every.join(F.broadcast(spark.createDataFrame(hot, "key long")), "key", "left_anti") if hot else every
-    edges = cold.repartition(width, "key").sortWithinPartitions("key", "u").mapInArrow(_meetings, "u long, v long, sure boolean")
+    edges = cold.repartition(width, "key").sortWithinPartitions("key", "u").mapInArrow(_meetings, "u long, v long, star boolean")
     if hot:  # HOT_KEYS at most; a key's least class is found by partial aggregation
         warm = durable(every.join(F.broadcast(spark.createDataFrame(hot, "key long")), "key", "left_semi").distinct())
-        edges = edges.unionByName(warm.join(F.broadcast(warm.groupBy("key").agg(F.min("u").alias("v"))), "key").select("v", "u", F.lit(True).alias("sure")))
-    edges = durable(edges.where("u <> v").groupBy("u", "v").agg(F.max("sure").alias("sure")))
+        edges = edges.unionByName(warm.join(F.broadcast(warm.groupBy("key").agg(F.min("u").alias("v"))), "key").select(F.col("v").alias("u"), F.col("u").alias("v"), F.lit(True).alias("star")))
+    edges = durable(edges.where("u <> v").distinct())
+    release(spark)
 
     def similar(batches):
         for batch in batches:
@@ -366,10 +430,11 @@ def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(found) for k in (0, 1)], ["u", "v"])
 
     side = lambda name: classes.select(F.col("short").alias(name), F.col("size").alias(f"size_{name}"), F.col("sketch").alias(f"sketch_{name}"))
-    sketched = edges.where("not sure").select("u", "v").join(side("u"), "u").join(side("v"), "v")
+    sketched = edges.where("not star").select("u", "v").join(side("u"), "u").join(side("v"), "v")
     sketched = sketched.where(F.least("size_u", "size_v") * 100 >= F.greatest("size_u", "size_v") * percent)
     sketched = sketched.select("u", "v", "sketch_u", "sketch_v", F.col("size_u") + F.col("size_v")).mapInArrow(similar, "u long, v long")
-    groups = components(sketched.unionByName(edges.where("sure").select("u", "v")))
+    crowds = crowded(edges.where("star").select("u", "v"), classes, percent)
+    groups = components(sketched.unionByName(crowds))
     groups = durable(classes.select("class", "short", "text_hash").join(groups, F.col("short") == F.col("node")).select("class", "text_hash", "component"))
     sizes = durable(groups.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > BLOCK))
     few = sizes.limit(HOT_KEYS + 1).count() <= HOT_KEYS
@@ -426,7 +491,7 @@ def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
     first = durable(classes.join(whole, F.col("class") == F.col("node"), "left").select("class", F.coalesce("component", "class").alias("component"), "first"))
     lowest = durable(first.groupBy("component").agg(F.min("first").alias("component_id")))
     ids = durable(lookup(first.select("class", "component"), lowest, ["component"]).select("class", "component_id"))
-    discard(classes, edges, groups, sizes, first, lowest, whole)
+    discard(classes, edges, crowds, groups, sizes, first, lowest, whole)
     empty = known.where("class is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     out = lookup(known.where("class is not null"), ids, ["class"]).select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
     return out.unionByName(empty)

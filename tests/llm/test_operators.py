@@ -191,6 +191,42 @@ def test_ngram_join_of_odd_tables(spark, paired, monkeypatch):
     assert got == {(5, 78, 5): 2, (None, 77, None): 1, (9, 77, 5): 1, (3, 2, 3): 1, (None, 0, None): 1}
 
 
+def test_alike_connects_all_that_may_be_similar():
+    r = np.random.default_rng(3)
+    base = [r.integers(0, 2**64, 60, dtype=np.uint64) for _ in range(6)]
+    sets = sorted((np.unique(np.concatenate([r.permutation(b)[int(r.integers(0, 7)) :], r.integers(0, 2**64, int(r.integers(0, 6)), dtype=np.uint64)])) for b in base for _ in range(25)), key=len)
+    sizes, sketches = np.array([len(s) for s in sets]), np.array([np.frombuffer(ngram_join.sketch(s), np.uint8) for s in sets])
+    for percent in (80, 90):
+        may = lambda i, j: 100 * min(sizes[i], sizes[j]) >= percent * max(sizes[i], sizes[j]) and ngram_join.may_be_similar(sketches[i][None], sketches[j][None], sizes[i : i + 1] + sizes[j], percent)[0]  # noqa: E731, B023
+        found = ngram_join.alike(sizes, sketches, percent)
+        assert all(may(i, j) for i, j in found)
+        want = smallest(len(sets), [(i, j) for i in range(len(sets)) for j in range(i) if may(i, j)])
+        assert smallest(len(sets), found) == want and len(found) == len(sets) - len(set(want)) > 20
+
+
+@pytest.mark.parametrize(("crowd", "hot"), [(4096, 256), (16, 256), (4096, 1)])
+def test_a_common_phrase_chains_no_candidates(spark, crowd, hot, monkeypatch):
+    """Far more classes than PAIRED post the hash of one shingle; only near copies may reach the trie."""
+    monkeypatch.setattr(ngram_join, "CROWD", crowd, raising=False)
+    monkeypatch.setattr(ngram_join, "LOOKED_AT", 1 if hot == 1 else ngram_join.LOOKED_AT)
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
+    texts = ["all of them share this " + " ".join(f"{c}{i}" for c in "abcdefghijklmnop") for i in range(1200)]
+    texts += [f"{t} v" for t in texts[::15]]
+    posted = Counter(k for t in texts for k in ngram_join.parts_of(ngram_join.shingles(t, 5), 80).tolist())
+    assert max(posted.values()) > 100
+    groups = []
+
+    def spied(edges, real=ngram_join.components):
+        found = real(edges)
+        groups.append(Counter(r["component"] for r in found.collect()))
+        return found
+
+    monkeypatch.setattr(ngram_join, "components", spied)
+    got = by_id(ngram_join.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 5, 80))
+    assert [got[i]["component_id"] for i in range(len(texts))] == [*range(1200), *range(0, 1200, 15)]
+    assert len(groups) == 2 and max(groups[0].values()) == 2
+
+
 def test_join_sets_finds_all_components():
     r = random.Random(9)
     for percent in (50, 80, 90):
